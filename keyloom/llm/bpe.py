@@ -8,6 +8,7 @@ worker keeps the ids of chunks seen, and only new chunks reach the library.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
 
@@ -15,17 +16,19 @@ import numpy as np
 
 _ADJACENT = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_SIGNS = frozenset(".,;:!?")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class ChunkedBpe:
     """``encode(texts)`` gives each text's ids as little-endian bytes of ``dtype``.
 
-    ``table_limit`` bounds the chunks kept in memory; beyond it the table starts anew, which only costs time.
+    ``table_limit`` bounds the chunks kept in memory; beyond it the table starts anew, which only costs time. A word with
+    a sign behind it is looked up as a word and a sign.
     Tokenizers of other kinds than plain byte-level BPE get whole texts.
     """
 
-    def __init__(self, path: str, table_limit: int = 400_000, segment_chars: int = 1_000_000):
+    def __init__(self, path: str, table_limit: int = 500_000, segment_chars: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,6 +40,7 @@ class ChunkedBpe:
         self.table_limit, self.segment_chars = table_limit, segment_chars
         self.heads: dict[str, bytes] = {}
         self.table: dict[str, bytes] = {}
+        self.signs = {x: self._ids(x) for x in _SIGNS} if self.chunked else {}
 
     def _segments(self, text: str):
         """(starts the text, part): parts of long texts, cut at single blanks, which are left out."""
@@ -53,24 +57,21 @@ class ChunkedBpe:
             return text.replace("\n", " \n").split(" ")
         return [x[1:] if i and x[0] == " " else x for i, x in enumerate(_CUT.split(text))]
 
-    def _add(self, heads: set[str], chunks: set[str]) -> None:
-        if len(self.table) + len(chunks) > self.table_limit:
-            self.table.clear()
-        if len(self.heads) + len(heads) > self.table_limit // 4:
-            self.heads.clear()
-        # pieces of the pattern recur in many chunks, so each distinct one is encoded once
-        chunks, heads = list(chunks), list(heads)
-        cut = [self._pieces(x if x[:1] == "\n" else " " + x) for x in chunks] + [self._pieces(x) for x in heads]
-        pieces = list({x for xs in cut for x in xs})
-        ids = {x: np.array(e.ids, self.dtype).tobytes() for x, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False))}
-        made = [b"".join(map(ids.__getitem__, xs)) for xs in cut]
-        self.table.update(zip(chunks, made))
-        self.heads.update(zip(heads, made[len(chunks) :]))
-
-    @staticmethod
-    def _pieces(chunk: str) -> list[str]:
-        """Cut by the pattern where letters are old enough for every Unicode version to agree on them."""
-        return _pattern().findall(chunk) if chunk.isascii() or max(chunk) < "\u0250" else [chunk]
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _add(self, chunks: list[str]) -> None:
+        """Words of letters that every Unicode version agrees on are one piece of the pattern, and the model gets them as they are."""
+        tokenize, table, dtype = self.tokenizer.model.tokenize, self.table, self.dtype
+        others = []
+        for x in chunks:
+            if x.isalpha() and (x.isascii() or max(x) < "\u0250"):
+                word = "\u0120" + (x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES))
+                table[x] = np.array([t.id for t in tokenize(word)], dtype).tobytes()
+            else:
+                others.append(x)
+        full = [x if x[:1] == "\n" else " " + x for x in others]
+        table.update((x, np.array(e.ids, dtype).tobytes()) for x, e in zip(others, self.tokenizer.encode_batch_fast(full, add_special_tokens=False)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
@@ -85,30 +86,49 @@ class ChunkedBpe:
         return out
 
     def _join(self, cut: list[list[str]], first: list[bool]) -> list[bytes]:
-        table, heads = self.table, self.heads
-        new: set[str] = set()
-        for chunks, head in zip(cut, first):
-            new.update(chunks[1:] if head else chunks)
-        new.difference_update(table)
-        new_heads = {chunks[0] for chunks, head in zip(cut, first) if head}.difference(heads)
-        if new or new_heads:
-            if len(table) + len(new) > self.table_limit:  # what is needed now comes back with the rest
-                new = {x for chunks, head in zip(cut, first) for x in (chunks[1:] if head else chunks)}
-            if len(heads) + len(new_heads) > self.table_limit // 4:
-                new_heads = {chunks[0] for chunks, head in zip(cut, first) if head}
-            self._add(new_heads, new)
-        return [heads[chunks[0]] + b"".join(map(table.__getitem__, chunks[1:])) if head else b"".join(map(table.__getitem__, chunks)) for chunks, head in zip(cut, first)]
+        table, signs = self.table, self.signs
+        if len(table) > self.table_limit:
+            table.clear()
+        found = [list(map(table.get, chunks[1:] if head else chunks)) for chunks, head in zip(cut, first)]
+        # of the chunks that aren't there: a word and its sign apart, if the word is one of letters
+        missing, words = [], set()
+        for ids, chunks, head in zip(found, cut, first):
+            for i, x in enumerate(ids):
+                if x is None:
+                    chunk = chunks[i + head]
+                    if chunk[-1:] in signs and (word := chunk[:-1]).isalpha() and (word.isascii() or max(word) < "\u0250"):
+                        missing.append((ids, i, word, signs[chunk[-1]]))
+                    else:
+                        word = chunk
+                        missing.append((ids, i, word, b""))
+                    if word not in table:
+                        words.add(word)
+        self._add(list(words))
+        for ids, i, word, sign in missing:
+            ids[i] = table[word] + sign
+        heads = [self._head(chunks[0]) if head else b"" for chunks, head in zip(cut, first)]
+        return [head + b"".join(ids) for head, ids in zip(heads, found)]
+
+    def _head(self, chunk: str) -> bytes:
+        if len(self.heads) > self.table_limit // 8:
+            self.heads.clear()
+        if chunk not in self.heads:
+            self.heads[chunk] = self._ids(chunk)
+        return self.heads[chunk]
 
 
-@functools.cache
-def _pattern():
-    import regex
+def _byte_letters() -> dict[int, str]:
+    """The published letters that stand for bytes in byte-level BPE: printable ones for themselves, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
-    # the published pattern of byte-level BPE pre-tokenisation (fixed value)
-    return regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+_BYTES = _byte_letters()
 
 
 @functools.cache
 def worker_bpe(path: str) -> ChunkedBpe:
-    """One table for each Python worker, kept from task to task."""
+    """One table for each Python worker, kept from task to task; it holds no cycles, so looking for them is rarer."""
+    gc.set_threshold(200_000, 20, 100)
     return ChunkedBpe(path)

@@ -207,7 +207,7 @@ def _place_k_chd(h, seed, data, n, size, load, k):
     return H.np_reduce(H.np_mix64(h + shift[H.np_reduce(H.np_mix64(h), len(shift)).astype(np.int64)]), size).astype(np.int64)
 
 
-def build_k_chd(keys: DataFrame, key: str, kind: str = "long", k: int = 4, load: int = 8) -> Sharded:
+def build_k_chd(keys: DataFrame, key: str, kind: str = "long", k: int = 4, load: int = 5) -> Sharded:
     """k-perfect: each of the about n / k slots takes at most k keys."""
     return _sharded(keys, key, kind, "k_chd", _make_k_chd, (load, k), 2_000)
 

@@ -378,7 +378,8 @@ def hash_bytes(name: str, value: Column, seed: int = 0) -> Column:
 
 
 def key_hashes(column, index: int, kind: str) -> np.ndarray:
-    """Universal hashes of an Arrow array of keys: longs or strings."""
+    """Universal hashes of an Arrow array of keys: kind is long, string or text."""
     if kind == "long":
         return long_hash(column.to_numpy(zero_copy_only=False).astype(np.int64).view(U), index)
-    return by_length([v if isinstance(v, bytes) else v.encode() for v in column.to_pylist()], lambda rows: siphash24(rows, index, index))
+    second = 0 if kind == "text" else index  # text slices have a second key of 0
+    return by_length([v if isinstance(v, bytes) else v.encode() for v in column.to_pylist()], lambda rows: siphash24(rows, index, second))

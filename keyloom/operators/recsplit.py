@@ -29,7 +29,7 @@ class Options:
     hash, and buckets of over 64 keys are refused.
     """
 
-    kind: str = "long"
+    kind: str = "long"  # long, string, or text: strings under another hash
     leaf_size: int = 8
     average_bucket_size: int = 100
     mode: str = "recsplit"
@@ -274,11 +274,12 @@ class Search:
         return H.key_hashes(self.keys.take(pa.array(rows)), universal, self.o.kind)
 
 
-def build(keys: DataFrame, key: str, options: Options | None = None) -> Model:
+def build(keys: DataFrame, key: str, options: Options | None = None, partitions: int | None = None) -> Model:
     """A function from the distinct keys of a column to 0..n-1.
 
     One shuffle by bucket; equal keys meet in it, and any that repeat are an error. The result is the same however the
-    input is partitioned. Buckets that overflow go to a second construction whose indexes follow.
+    input is partitioned. Buckets that overflow go to a second construction whose indexes follow. ``partitions`` sets the
+    number of tasks that search, instead of the session's; sets that don't fit in memory spill in the shuffle.
     """
     options = options or Options("string" if dict(keys.dtypes)[key] == "string" else "long")
     n = keys.count()
@@ -309,7 +310,7 @@ def build(keys: DataFrame, key: str, options: Options | None = None) -> Model:
             types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], ["bucket", "n", "nodes", "bit_len", "alt"])
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "h", "key")
+    dealt = (rows.repartition(partitions, "bucket") if partitions else rows.repartition("bucket")).sortWithinPartitions("bucket", "h", "key")
     table = as_table(dealt.mapInArrow(run, _MODEL), "buckets")
     placed = as_table(prefix_sum(table.withColumn("own", F.when(F.col("alt"), 0).otherwise(F.col("n")).cast("long")), "bucket", "own", "offset").drop("own"), "model")
     model = Model(placed, options, n, buckets)
@@ -323,6 +324,43 @@ def build(keys: DataFrame, key: str, options: Options | None = None) -> Model:
     return model
 
 
+SIMPLE = Options("string", leaf_size=8, average_bucket_size=100)
+"""The plain variant for strings: buckets of 100 keys, leaves of 8, descriptions as arrays."""
+
+
+def description(model: Model) -> DataFrame:
+    """The uncompressed form: bucket, keys before it, nodes before it, and its nodes' indexes in pre-order."""
+    rows = prefix_sum(model.table.withColumn("__nodes", F.coalesce(F.size("nodes"), F.lit(0)).cast("long")), "bucket", "__nodes", "first_node")
+    return rows.select("bucket", F.col("offset").alias("first_key"), F.col("first_node").cast("long").alias("first_node"), "nodes")
+
+
+def compressed(model: Model) -> DataFrame:
+    """bucket, n and its nodes as packed Golomb-Rice codes."""
+    options = model.options
+    from ..functions.codes import pack_rice
+
+    def run(batches):
+        split, k, _ = options.rules()
+        for batch in batches:
+            data = [pack_rice(r["nodes"], [int(k[m]) for m in preorder_sizes(r["n"], options.leaf_size, split)])[0] for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("n"), pa.array(data, pa.binary())], ["bucket", "n", "bits"])
+
+    return model.table.where("not alt").select("bucket", "n", "nodes").mapInArrow(run, "bucket long, n int, bits binary")
+
+
+def expanded(packed: DataFrame, options: Options) -> DataFrame:
+    """bucket, n and nodes back from ``compressed``."""
+    from ..functions.codes import unpack_rice
+
+    def run(batches):
+        split, k, _ = options.rules()
+        for batch in batches:
+            nodes = [unpack_rice(r["bits"], [int(k[m]) for m in preorder_sizes(r["n"], options.leaf_size, split)]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("n"), pa.array(nodes, pa.list_(pa.int64()))], ["bucket", "n", "nodes"])
+
+    return packed.mapInArrow(run, "bucket long, n int, nodes array<long>")
+
+
 def whole_buckets(batches, rows: int = CHUNK):
     """Arrow batches in chunks of about ``rows`` rows that never cut a bucket; buckets follow each other."""
     held = None

@@ -131,6 +131,15 @@ def mphf_space_report(spark, d):
     return model.space().select("n", (F.col("bits_per_key") > 1.44).alias("above_bound"), (F.col("bits_per_key") < 4).alias("below_four"))
 
 
+@query("select count(*) as buckets, 0::bigint as differences from range((select ceil(count(*) / 100.0) from orders)::bigint)")
+def mphf_compressed_round_trip(spark, d):
+    """Uncompressed descriptions against those packed and expanded again."""
+    _, model = _orders_model(spark, d)
+    back = R.expanded(R.compressed(model), model.options).select("bucket", F.col("nodes").alias("back"))
+    both = R.description(model).join(back, "bucket")
+    return both.agg(F.count("*").alias("buckets"), F.sum((F.col("nodes") != F.col("back")).cast("long")).alias("differences"))
+
+
 @query()
 def mphf_tree_nodes(spark, d):
     _, model = _orders_model(spark, d)
@@ -373,6 +382,21 @@ def signature_bits_needed(spark, d):
     return rows.where(P.probability_of_duplicates(F.col("n").cast("double"), F.col("b")) < 0.01).groupBy("n").agg(F.min("b").alias("bits"))
 
 
+@query()
+def rice_leaf_table(spark, d):
+    return P.rice_leaf_table(spark)
+
+
+@query()
+def leaf_break_even(spark, d):
+    return P.break_even(spark)
+
+
+@query("select 2000000000::bigint as n, 15::bigint as segments, 133333334::bigint as keys_each")
+def segment_plan(spark, d):
+    return P.segments_plan(spark, 2 * 10**9, 1 << 30).select("n", "segments", "keys_each")
+
+
 @query()
 def huge_set_plan(spark, d):
     return P.huge_set_plan(spark, [10**6, 2 * 10**9, 10**12])

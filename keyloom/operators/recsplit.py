@@ -261,7 +261,7 @@ class Search:
                     raise ValueError("keys of the fast mode repeat")
                 hashes[todo[i]] = self._rehash(rows[todo[i]], int(level[todo[i]]))
             room = (1 << UNIVERSAL_SHIFT) - int((now & (1 << UNIVERSAL_SHIFT) - 1).max())
-            tries = min(max(1, (1 << 18) // (len(todo) * n)), room)
+            tries = min(max(1, (1 << 16) // (len(todo) * n)), room)
             tried = (now[:, None] + np.arange(tries)).astype(U)
             good = self._good(self.slots(hashes[todo][:, None, :], tried[:, :, None], n), n)
             hit = good.any(axis=1)

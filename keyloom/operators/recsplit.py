@@ -98,10 +98,15 @@ class Model:
         return cls(spark.read.parquet(f"{path}/buckets"), options, meta["n"], meta["buckets"])
 
     def space(self) -> DataFrame:
-        """n, bits of the trees, bits of the lists (two monotone lists of small steps) and bits a key."""
-        lists = 2 * (2 + max(1, self.options.average_bucket_size).bit_length() // 2)
+        """n, bits of the trees, bits of two monotone lists (keys and bits before each bucket, less their smallest steps) and bits a key."""
         tree = F.coalesce(F.sum("bit_len"), F.lit(0))
-        return self.table.agg(F.lit(self.n).cast("long").alias("n"), tree.alias("tree_bits"), (F.count("*") * lists).alias("list_bits")).withColumn("bits_per_key", (F.col("tree_bits") + F.col("list_bits")) / F.greatest(F.col("n"), F.lit(1)))
+
+        def entry(column):
+            return 2 + F.ceil(F.log2(F.avg(column) - F.min(column) + 1))
+
+        lists = F.coalesce(F.count("*") * (entry("n") + entry("bit_len")), F.lit(0))
+        out = self.table.agg(F.lit(self.n).cast("long").alias("n"), tree.alias("tree_bits"), lists.cast("long").alias("list_bits"))
+        return out.withColumn("bits_per_key", (F.col("tree_bits") + F.col("list_bits")) / F.greatest(F.col("n"), F.lit(1)))
 
     def nodes(self) -> DataFrame:
         """Every node of every bucket in pre-order: bucket, pos, depth, size, gap, rice_k."""

@@ -123,7 +123,8 @@ def held_out() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, column: str, per_class: int, positive=None) -> list:
     """(text, label) of at most ``per_class`` labelled rows of each class, chosen by hash among those not held out.
 
-    A label that is null or whose rows disagree counts by its smallest value; rows without a doc_id are left out.
+    A label that is null or whose rows disagree counts by its smallest value; rows without a doc_id are left out, and a
+    doc_id with several texts gives its smallest one.
     """
     one = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(column).cast("int").alias("label"))
     one = one.where(~F.coalesce(held_out(), F.lit(True)))
@@ -131,9 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, per_class: int, positiv
     for value in (0, 1):
         part = one.where(F.col("label") == value).orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most 2 * per_class small rows: the bound allows the broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).collect()
-    return [(r.text or "", r.label) for r in rows]
+    # at most 2 * per_class small rows: the bound allows the broadcast; one text for each doc_id, so it bounds the sample too
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return [(r.text or "", r.label) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> SubwordModel:

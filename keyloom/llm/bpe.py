@@ -97,12 +97,17 @@ class ChunkedBpe:
                 if x is None:
                     chunk = chunks[i + head]
                     if chunk[-1:] in signs and (word := chunk[:-1]).isalpha() and (word.isascii() or max(word) < "\u0250"):
-                        missing.append((ids, i, word, signs[chunk[-1]]))
+                        sign = signs[chunk[-1]]
                     else:
-                        word = chunk
-                        missing.append((ids, i, word, b""))
-                    if word not in table:
+                        word, sign = chunk, b""
+                    ids_of = table.get(word)
+                    if ids_of is None:
                         words.add(word)
+                    elif sign:
+                        # a word met before: it may come again with the same sign
+                        ids[i] = table[chunk] = ids_of + sign
+                        continue
+                    missing.append((ids, i, word, sign))
         self._add(list(words))
         for ids, i, word, sign in missing:
             ids[i] = table[word] + sign

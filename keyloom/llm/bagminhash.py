@@ -155,7 +155,7 @@ def _open(data: bytes):
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and multiset of the documents in ``ids``; Spark broadcasts the ids where they are few, else joins by sorting."""
+    """id and multiset of the documents in ``ids``. Spark broadcasts the ids where they are few, else joins by sorting."""
 
     def run(batches):
         for batch in batches:
@@ -233,7 +233,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Copies are collapsed first, with partial sums. Buckets of a band are never expanded into all pairs: (1) each text
     is compared with the smallest one that it shares a bucket with; (2) with the first text of each of its buckets that
-    is in another class by then; (3) texts of one bucket that are in different classes still, with each other. That
+    is in another class by then; (3) the texts of a bucket outside its largest class so far, with all of the bucket. That
     leaves out only pairs whose texts are in one class already, and pairs whose sizes alone rule the similarity out.
     """
     prints = as_table(fingerprints(docs), "prints")
@@ -248,29 +248,91 @@ def classes(docs: DataFrame) -> DataFrame:
     bags = as_table(_sets(docs, members.select("id").distinct()), "bags")
     tested = as_table(members.where("id <> hub").where(alike("weight", "hub_weight")).groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b")), "tested")
     links = as_table(verified(tested, bags), "links")
-    for step in (2, 3):
-        labels = components(links)
-        labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        if step == 2:
-            of_hub = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-            labelled = labelled.join(of_hub, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-            pairs = labelled.where("label <> hub_label and id <> hub").where(alike("weight", "hub_weight")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        else:
-            labelled = as_table(labelled.select("key", "id", "weight", "label"), "labelled")
-            mixed = as_table(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
-            open_ = as_table(labelled.join(mixed, "key", "left_semi"), "open")
-            other = open_.select("key", F.col("id").alias("a"), F.col("weight").alias("weight_a"), F.col("label").alias("label_a"))
-            pairs = open_.join(other, "key").where("a < id and label <> label_a").where(alike("weight", "weight_a")).select("a", F.col("id").alias("b"))
-        pairs = as_table(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = as_table(links.unionByName(verified(pairs, bags)), "links")
-            tested = tested.unionByName(pairs)
+    labelled = _labelled(members, components(links))
+    of_hub = labelled.select(F.col("id").alias("hub"), F.col("label").alias("hub_label")).distinct()
+    pairs = labelled.where("id <> hub").where(alike("weight", "hub_weight")).join(of_hub, "hub").where("label <> hub_label")
+    pairs = as_table(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = as_table(links.unionByName(verified(pairs, bags)), "links")
+    links = links.unionByName(_across(_labelled(members, components(links)), bags))
     labels = components(links).withColumnRenamed("label", "class_id")
     to_class = as_table(copies.join(labels, "id", "left").select("fp", F.coalesce("class_id", "id").alias("class_id")), "classes")
     found = prints.select("doc_id", "fp").join(to_class, "fp").select("doc_id", "class_id")
     return found
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return as_table(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+
+
+def _across(labelled: DataFrame, bags: DataFrame, cell: int = 512, cell_weight: int = 1_000_000, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between texts of one bucket whose labels differ.
+
+    The texts of a bucket's most frequent label need no comparing with each other, so only the others are held against
+    all. Both are dealt into cells of bounded size; in a cell an index of the shingles gives the overlaps of a text with all
+    others at once, and for each label that it reaches one link comes out. Buckets of two have been compared before.
+    """
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("weight").alias("w"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum("w").alias("w"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
+    share = F.greatest(F.col("w") / F.col("n") * (cell / cell_weight), F.lit(1.0)) / cell  # cells for each text; more if texts are long
+    sizes = sizes.where("labels > 1 and n > 2").select("key", F.col("top.label").alias("top"), F.ceil(F.col("n") * share).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top.c")) * share).cast("int").alias("askers"))
+    rows = labelled.select("key", "id", "label").join(as_table(sizes, "open"), "key")
+    number = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    asked = rows.where("label <> top").select("key", "id", "label", number("askers").alias("i"), every("parts").alias("j"), F.lit(True).alias("asks"))
+    against = rows.select("key", "id", "label", every("askers").alias("i"), number("parts").alias("j"), F.lit(False).alias("asks"))
+    dealt = asked.unionByName(against).join(bags, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        group, held = None, []
+        for batch in batches:
+            out = []
+            for key, i, j, id_, label, asks, bag in zip(*(batch.column(x).to_pylist() for x in ("key", "i", "j", "id", "label", "asks", "bag"))):
+                if (key, i, j) != group:
+                    out += _cell_links(held, least)
+                    group, held = (key, i, j), []
+                held.append((id_, label, asks, bag))
+            yield _pairs(out)
+        yield _pairs(_cell_links(held, least))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _cell_links(held: list, least: float) -> list[tuple[int, int]]:
+    """For each text that asks, one text of each other label that is similar enough."""
+    askers, others = ([x for x in held if x[2] is asks] for asks in (True, False))
+    if not askers or not others:
+        return []
+    sets = [_elements(zlib.decompress(x[3])) for x in others]
+    sizes = np.array([len(x) for x in sets])
+    element = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    ids, labels = np.array([x[0] for x in others]), np.array([x[1] for x in others])
+    out = []
+    for id_, label, _, bag in askers:
+        own = _elements(zlib.decompress(bag))
+        first, last = np.searchsorted(element, own, "left"), np.searchsorted(element, own, "right")
+        n = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        hits = np.flatnonzero((labels != label) & (both >= least * (len(own) + sizes - both)))
+        for k in hits[np.unique(labels[hits], return_index=True)[1]].tolist():
+            out.append((id_, int(ids[k])))
+    return out
+
+
+def _elements(bag: bytes) -> np.ndarray:
+    """A multiset as a set: the second copy of an element counts as another one, and so on."""
+    e, c = _open(bag)
+    copy = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+    return mix(np.repeat(e, c) + copy.astype(np.uint64) * _K)
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the smallest doc_id, with all its columns. Rows without doc_id stay, as nothing names them."""
     found = classes(docs)

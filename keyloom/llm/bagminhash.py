@@ -155,14 +155,14 @@ def _open(data: bytes):
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and multiset of the documents in ``ids``. Spark broadcasts the ids where they are few, else joins by sorting."""
+    """id and multiset of the documents in ``ids``. Ids grow with the corpus, so the join sorts at every size and never broadcasts them."""
 
     def run(batches):
         for batch in batches:
             for rows, texts in sub_batches(batch, "text", 2_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array([zlib.compress(overlap_set(x), 1) for x in texts], pa.binary())], ["id", "bag"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     return rows.mapInArrow(run, "id long, bag binary")
 
 
@@ -249,8 +249,8 @@ def classes(docs: DataFrame) -> DataFrame:
     tested = as_table(members.where("id <> hub").where(alike("weight", "hub_weight")).groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b")), "tested")
     links = as_table(verified(tested, bags), "links")
     labelled = _labelled(members, components(links))
-    of_hub = labelled.select(F.col("id").alias("hub"), F.col("label").alias("hub_label")).distinct()
-    pairs = labelled.where("id <> hub").where(alike("weight", "hub_weight")).join(of_hub, "hub").where("label <> hub_label")
+    of_hub = as_table(labelled.where("id = hub").select("hub", F.col("label").alias("hub_label")).distinct(), "hubs")
+    pairs = labelled.where("id <> hub").where(alike("weight", "hub_weight")).join(of_hub.hint("merge"), "hub").where("label <> hub_label")
     pairs = as_table(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     links = as_table(links.unionByName(verified(pairs, bags)), "links")
     links = links.unionByName(_across(_labelled(members, components(links)), bags))
@@ -337,7 +337,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the smallest doc_id, with all its columns. Rows without doc_id stay, as nothing names them."""
     found = classes(docs)
     stay = as_table(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
-    kept = docs.join(stay.select(F.col("doc_id").alias("__stay")), F.col("doc_id") == F.col("__stay"), "left_semi")
+    kept = docs.join(stay.select(F.col("doc_id").alias("__stay")).hint("merge"), F.col("doc_id") == F.col("__stay"), "left_semi")
     if not stay.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

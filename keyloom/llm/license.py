@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +44,38 @@ def normalised(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """The distinct pairs of neighbouring words of a normalised text."""
-    words = F.split(text, " ")
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    def pairs(words):
+        joined = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_distinct(F.when(F.size(words) > 1, joined).otherwise(F.array().cast("array<string>")))
+
+    return _once(F.split(text, " "), pairs)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it occurs in it: a lambda's variable isn't put in place of its name."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def anchors(templates, least: float) -> list[str]:
+    """Words and word pairs of which every text with a match holds one.
+
+    A match shares at least ``size * least / (2 - least)`` bigrams of its template. So anchors that together stand in
+    more bigrams of it than may be missing can't all be missing. Long words come first, as few other texts hold them.
+    """
+    out: set[str] = set()
+    for _, text in templates:
+        words = re.sub(r"[\W_]+", " ", text.lower()).strip().split(" ")
+        pairs = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        open_, allowed = set(pairs), len(pairs) - size_bounds(len(pairs), least)[0]
+        held = lambda anchor: {p for p in open_ if anchor in p.split(" ") or anchor == p}  # noqa: E731, B023
+        items = sorted({w for w in words if len(w) >= 8}, key=lambda w: (-len(w), w)) + sorted(pairs, key=lambda p: (-len(p), p))
+        for anchor in items:
+            if len(pairs) - len(open_) > allowed:
+                break
+            if found := held(anchor):
+                out.add(anchor)
+                open_ -= found
+    return sorted(out)
 
 
 def _quoted(text: str) -> str:
@@ -65,13 +96,16 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
 
     A text is scanned as its lines, its paragraphs and itself, each distinct one once. The size of a unit's bigram set
     selects its candidate templates, so most units meet none; the templates are fixed, which bounds the broadcast.
+    Before all that, texts without any of the templates' anchors are passed over, as they can't match.
     Null and empty texts and units of fewer than two words match nothing; rows of one doc_id (or none) are counted
     together; only documents with a match are returned.
     """
     spark = docs.sparkSession
     text = F.col("text")
+    parts = anchors(templates, least)
+    may_match = _once(normalised(text), lambda t: functools.reduce(lambda a, b: a | b, (F.contains(t, F.lit(x)) for x in parts), F.lit(False)))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("unit"))
+    rows = docs.where("text is not null").where(may_match).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("unit"))
     rows = rows.select("doc_id", bigrams(normalised(F.col("unit"))).alias("own")).withColumn("size", F.size("own"))
     found = rows.join(F.broadcast(template_table(spark, templates, least)), "size")
     dice = F.lit(2.0) * F.size(F.array_intersect("own", "grams")) / (F.col("size") + F.size("grams"))

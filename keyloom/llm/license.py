@@ -91,10 +91,85 @@ def template_table(spark, templates, least: float) -> DataFrame:
     return table.where(n > 0).select("template", "license", "grams", F.explode(F.sequence(F.greatest(low.cast("int"), F.lit(1)), high.cast("int"))).alias("size"))
 
 
+def _sets(templates, least: float) -> list[tuple[str, set[str], int, int]]:
+    """Name, bigrams and size bounds of each template that has bigrams."""
+    words = [(name, re.sub(r"[\W_]+", " ", x.lower()).strip().split(" ")) for name, x in templates]
+    sets = [(name, {f"{a} {b}" for a, b in zip(w, w[1:])}) for name, w in words]
+    return [(name, pairs, *size_bounds(len(pairs), least)) for name, pairs in sets if pairs]
+
+
+def _listed(pairs) -> Column:
+    return F.split(F.lit("\n".join(sorted(pairs))), "\n")
+
+
+def _wordings(sets) -> Column:
+    return F.array(*(F.struct(F.lit(i).alias("id"), F.lit(name).alias("license"), _listed(pairs).alias("grams"), F.lit(len(pairs)).alias("n"), F.lit(low).alias("low")) for i, (name, pairs, low, _) in enumerate(sets)))
+
+
+def runs(text: Column, templates, least: float) -> Column:
+    """license, own and dice of the runs of neighbouring sentences (so of lines and paragraphs too) that match a template.
+
+    A fold over the sentences keeps the most recent distinct bigrams, each with the last sentence it starts in: those of
+    a run's start or later are the run's set. More of them than a template's bounds let match are never needed, so the
+    work is linear in the text, however often its parts repeat. A run that ends in a sentence without a bigram of a
+    template is passed over: without that sentence it matches better. Of the matches that overlap, the shortest one that
+    ends first has its set in ``own``, the others have null: they are the same notice.
+    """
+    sets = _sets(templates, least)
+    wordings = _wordings(sets)
+    known, keep = _listed(set().union(*(x[1] for x in sets))), max(x[3] for x in sets) + 1
+    state_type = "struct<at: int, last: string, recent: array<struct<gram: string, at: int, of: array<int>>>, ends: array<int>, found: array<struct<license: string, own: array<string>, dice: double>>>"
+
+    def match(w, recent):
+        """The shortest run up to here that matches the wording, and the best coefficient of all of them."""
+        def of_hits(hits):
+            share = lambda s: F.lit(2.0) * F.size(F.filter(hits, lambda h: h["at"] >= s)) / (F.size(F.filter(recent, lambda x: x["at"] >= s)) + w["n"])
+            starts = F.transform(F.array_distinct(F.transform(hits, lambda h: h["at"])), lambda s: F.struct(s.alias("s"), share(s).alias("dice")))
+            good = F.filter(starts, lambda x: x["dice"] >= least)
+            best = lambda good: F.when(F.size(good) > 0, F.struct(w["license"].alias("license"), F.array_max(F.transform(good, lambda x: x["s"])).alias("s"), F.array_max(F.transform(good, lambda x: x["dice"])).alias("dice")))
+            return F.when(F.size(hits) >= w["low"], _once(good, best))
+
+        return _once(F.filter(recent, lambda x: F.array_contains(x["of"], w["id"])), of_hits)
+
+    def step(state, sentence):
+        words, at = F.split(sentence, " "), state["at"] + 1
+        edge = F.when(state["last"] != "", F.array(F.concat(state["last"], F.lit(" "), F.element_at(words, 1)))).otherwise(F.array().cast("array<string>"))
+
+        def with_grams(g):
+            """g: the sentence's own bigrams, the one that leads into it, and those of both that a template holds."""
+            of = lambda x: F.when(F.array_contains(g["hits"], x), F.transform(F.filter(wordings, lambda w: F.array_contains(w["grams"], x)), lambda w: w["id"])).otherwise(F.array().cast("array<int>"))
+            entry = lambda x, n: F.struct(x.alias("gram"), n.alias("at"), of(x).alias("of"))
+            older = F.filter(state["recent"], lambda x: ~F.array_contains(g["inner"], x["gram"]) & ~F.array_contains(g["edge"], x["gram"]))
+            recent = F.slice(F.concat(F.transform(g["inner"], lambda x: entry(x, at)), F.transform(g["edge"], lambda x: entry(x, at - 1)), older), 1, keep)
+
+            def with_recent(recent):
+                matches = F.when(F.size(g["hits"]) > 0, F.transform(wordings, lambda w: match(w, recent)))
+                return _once(matches, lambda matches: following(recent, matches))
+
+            return _once(recent, with_recent)
+
+        def following(recent, matches):
+            own = lambda s: F.array_sort(F.transform(F.filter(recent, lambda x: x["at"] >= s), lambda x: x["gram"]))
+            row = lambda m, end: F.when(m.isNotNull(), F.struct(m["license"].alias("license"), F.when(m["s"] > end, own(m["s"])).alias("own"), m["dice"].alias("dice")))
+            rows = F.filter(F.zip_with(matches, state["ends"], row), lambda r: r.isNotNull() & ~F.array_contains(state["found"], r))
+            any_ = F.coalesce(F.exists(matches, lambda m: m.isNotNull()), F.lit(False))
+            ends = F.when(any_, F.zip_with(matches, state["ends"], lambda m, end: F.when(m["s"] > end, at).otherwise(end))).otherwise(state["ends"])
+            found = F.when(any_, F.concat(state["found"], rows)).otherwise(state["found"])
+            return F.struct(at.alias("at"), F.element_at(words, -1).alias("last"), recent.alias("recent"), ends.alias("ends"), found.alias("found")).cast(state_type)
+
+        grams = _once(bigrams(sentence), lambda own: F.struct(F.slice(own, 1, keep).alias("inner"), F.array_except(edge, own).alias("edge"), F.array_intersect(F.concat(own, edge), known).alias("hits")))
+        return _once(grams, with_grams)
+
+    sentences = F.filter(F.transform(F.split(text, r"\n|(?<=[.!?])\s+"), normalised), lambda x: x != "")
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().alias("recent"), F.array_repeat(F.lit(-1), len(sets)).alias("ends"), F.array().alias("found")).cast(state_type)
+    return F.aggregate(sentences, first, step, lambda state: state["found"])
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
-    """doc_id, license, units and dice: how many lines, paragraphs or whole texts match a licence, and the best coefficient.
+    """doc_id, license, units and dice: how many lines, paragraphs, whole texts or runs match a licence, and the best coefficient.
 
-    A text is scanned as its lines, its paragraphs and itself, each distinct one once. The size of a unit's bigram set
+    A text is scanned as its lines, its paragraphs and itself, each distinct one once, and in runs of neighbouring
+    sentences. Of the runs that overlap one counts, and none that holds a matching unit or lies in one. The size of a unit's bigram set
     selects its candidate templates, so most units meet none; the templates are fixed, which bounds the broadcast.
     Before all that, texts without any of the templates' anchors are passed over, as they can't match.
     Null and empty texts and units of fewer than two words match nothing; rows of one doc_id (or none) are counted
@@ -105,14 +180,24 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     parts = anchors(templates, least)
     may_match = _once(normalised(text), lambda t: functools.reduce(lambda a, b: a | b, (F.contains(t, F.lit(x)) for x in parts), F.lit(False)))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n\s*\n"), F.array(text)))
-    rows = docs.where("text is not null").where(may_match).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("unit"))
-    rows = rows.select("doc_id", bigrams(normalised(F.col("unit"))).alias("own")).withColumn("size", F.size("own"))
-    found = rows.join(F.broadcast(template_table(spark, templates, least)), "size")
-    dice = F.lit(2.0) * F.size(F.array_intersect("own", "grams")) / (F.col("size") + F.size("grams"))
-    found = found.select("doc_id", "license", "own", dice.alias("dice")).where(F.col("dice") >= least)
+    units = F.transform(units, lambda u: _once(bigrams(normalised(u)), lambda own: F.struct(F.size(own).alias("size"), F.lit(None).cast("string").alias("run_license"), own.alias("own"), F.lit(None).cast("double").alias("run_dice"))))
+    wordings = _wordings(_sets(templates, least))
+
+    def in_unit(units, r):
+        matches = lambda u: F.exists(wordings, lambda w: (w["license"] == r["license"]) & (F.lit(2.0) * F.size(F.array_intersect(u["own"], w["grams"])) / (u["size"] + w["n"]) >= least))
+        return F.exists(units, lambda u: (u["size"] > 0) & (F.size(F.array_intersect(u["own"], r["own"])) == F.least(u["size"], F.size(r["own"]))) & matches(u))
+
+    def with_runs(units):
+        row = lambda r: F.struct(F.lit(None).cast("int").alias("size"), r["license"].alias("run_license"), F.when(r["own"].isNotNull() & ~in_unit(units, r), r["own"]).alias("own"), r["dice"].alias("run_dice"))
+        return F.concat(units, F.transform(runs(text, templates, least), row))
+
+    rows = docs.where("text is not null").where(may_match).select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(_once(units, with_runs)))
+    found = rows.join(F.broadcast(template_table(spark, templates, least)), "size", "left")
+    dice = F.coalesce("run_dice", F.lit(2.0) * F.size(F.array_intersect("own", "grams")) / (F.col("size") + F.size("grams")))
+    found = found.select("doc_id", F.coalesce("run_license", "license").alias("license"), "own", dice.alias("dice")).where(F.col("dice") >= least)
     # a unit that matches several wordings of a licence counts once
     found = found.groupBy("doc_id", "license", F.array_sort("own").alias("own")).agg(F.max("dice").alias("dice"))
-    return found.groupBy("doc_id", "license").agg(F.count("*").alias("units"), F.round(F.max("dice"), 6).alias("dice"))
+    return found.groupBy("doc_id", "license").agg(F.count("own").alias("units"), F.round(F.max("dice"), 6).alias("dice"))
 
 
 def scan_sql(templates=TEMPLATES, least: float = 0.8) -> str:

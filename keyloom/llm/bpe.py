@@ -16,6 +16,7 @@ import numpy as np
 
 _ADJACENT = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_SAFE = re.compile(r"(?=.*[^\w.,;:!?])\S+")
 _SIGNS = frozenset(".,;:!?")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -32,10 +33,11 @@ class ChunkedBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
         self.chunked = not made.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        # an added token may neither reach over a cut nor lie in a word with a sign
+        self.chunked = self.chunked and all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and _SAFE.fullmatch(t["content"]) for t in made.get("added_tokens") or [])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.table_limit, self.segment_chars = table_limit, segment_chars
         self.heads: dict[str, bytes] = {}

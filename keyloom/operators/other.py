@@ -241,6 +241,12 @@ def bbhash_levels(keys: DataFrame, key: str, gamma: float = 2.0, most: int = 24)
     return left if placed is None else placed.unionByName(left)
 
 
+def bbhash_counts(levels: DataFrame) -> DataFrame:
+    """level and placed for every level of ``bbhash_levels``, and a row without a level for the keys left unplaced."""
+    placed = levels.where("slot is not null").groupBy("level").agg(F.count("*").alias("placed"))
+    return placed.unionByName(levels.where("slot is null").agg(F.lit(None).cast("int").alias("level"), F.count("*").alias("placed")))
+
+
 def bbhash_level_sql(column: str, table: str, gamma: float, levels: int) -> str:
     """The first levels' counts in SQL: the same loop unrolled."""
     wide = lambda x: f"(({x})::uhugeint % 18446744073709551616::uhugeint)"

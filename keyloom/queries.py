@@ -200,7 +200,8 @@ def chd_k_perfect(spark, d):
 
 @query("select level::int as level, placed from (" + other.bbhash_level_sql("o_orderkey", "orders", 2.0, 4) + ")")
 def bbhash_level_counts(spark, d):
-    return other.bbhash_levels(_t(spark, d, "orders"), "o_orderkey", 2.0).where("slot is not null and level < 4").groupBy("level").agg(F.count("*").alias("placed"))
+    """Keys placed on every level; the row without a level counts those left unplaced. The SQL has the first four levels only."""
+    return other.bbhash_counts(other.bbhash_levels(_t(spark, d, "orders"), "o_orderkey", 2.0))
 
 
 @query("select e.event_id, c.c_name as value from events e left join customer c on e.user_id = c.c_custkey")

@@ -26,9 +26,7 @@ def rows(spark, texts, ids=None):
 
 @pytest.fixture(scope="module")
 def bpe():
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 def test_chunked_bpe_equals_library(bpe):

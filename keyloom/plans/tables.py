@@ -11,18 +11,24 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary folder of the application."""
+    """A new path below ``spark.checkpoint.dir``.
+
+    Where that is unset a local session (tests) gets a temporary folder; on a cluster it is an error, as every executor
+    would write to a disk of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="keyloom-")
-        base = f"file://{_own[app]}"
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.get(context.applicationId) or _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="keyloom-"))
+    if "://" not in base and not base.startswith("file:"):
+        base = f"file://{base}"
     return f"{base.rstrip('/')}/keyloom/{name}-{uuid.uuid4().hex}"
 
 
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet and read again: cuts the lineage, and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import code_points, mix, parts, spans, word_hashes, word_table
-from .shared import as_table, sub_batches
+from .shared import among, as_table, numbered, salted_join, sub_batches
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares a band with a probability of 0.9999
@@ -100,11 +100,13 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (of the word sequence; of the text where it has no word), weight (shingles) and bands of every row."""
+    """r, doc_id, h, fp (of the word sequence; of the text where it has no word), weight (shingles) and bands of every row.
+
+    ``docs`` has r, doc_id, h and text. Null texts count as empty; very long ones are cut into parts for hashing only.
+    """
 
     def run(batches):
         for batch in batches:
-            doc_ids = batch.column("doc_id")
             for rows, texts in sub_batches(batch, "text", 500_000):
                 fps, weights, owner, element, count, has = [], [], [], [], [], []
                 for text in texts:
@@ -125,10 +127,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     keys = band_keys(signatures(number[np.concatenate(owner)], np.concatenate(element), np.concatenate(count), len(known), BANDS * ROWS))
                     for i, key in zip(known.tolist(), keys):
                         bands[i] = key
-                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(rows)), pa.array(fps, pa.binary()), pa.array(weights, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "weight", "bands"])
+                own = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(own) for x in ("r", "doc_id", "h")), pa.array(fps, pa.binary()), pa.array(weights, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["r", "doc_id", "h", "fp", "weight", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp binary, weight long, bands array<long>")
+    return docs.select("r", "doc_id", "h", "text").mapInArrow(run, "r long, doc_id long, h long, fp binary, weight long, bands array<long>")
 
 
 _SET = struct.Struct("<q")
@@ -154,20 +156,19 @@ def _open(data: bytes):
     return np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n).astype(np.int64)
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and multiset of the documents in ``ids``. Ids grow with the corpus, so the join sorts at every size and never broadcasts them."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """id and packed multiset of texts (r, text)."""
 
     def run(batches):
         for batch in batches:
             for rows, texts in sub_batches(batch, "text", 2_000_000):
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array([zlib.compress(overlap_set(x), 1) for x in texts], pa.binary())], ["id", "bag"])
+                yield pa.RecordBatch.from_arrays([batch.column("r").take(pa.array(rows)), pa.array([zlib.compress(overlap_set(x), 1) for x in texts], pa.binary())], ["id", "bag"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
-    return rows.mapInArrow(run, "id long, bag binary")
+    return texts.select("r", "text").mapInArrow(run, "id long, bag binary")
 
 
 def verified(pairs: DataFrame, bags: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Of the pairs (a, b) those whose texts overlap enough. Joins are by id on plain exchanges, so hot ids can be split."""
+    """Of the pairs (a, b) those whose texts overlap enough. A text in very many pairs is dealt over tasks, with a copy of its multiset for each."""
 
     def run(batches):
         last, bag = None, b""
@@ -182,8 +183,9 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float = SIMILARITY) -> Da
 
     right = bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
     left = bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "bag_a", "bag_b")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    both = salted_join(pairs.join(right, "b"), left, "a", F.col("b"), counts=counts)
+    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,7 +207,7 @@ def components(links: DataFrame) -> DataFrame:
             labels = as_table(labels.join(over, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
         for end in ("a", "b"):
             over = hang.select(F.col("a").alias(end), F.col("b").alias("to"))
-            links = links.join(over, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            links = salted_join(links, over, end, F.col("a" if end == "b" else "b"), "left").withColumn(end, F.coalesce("to", end)).drop("to")
         links = as_table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     if labels is None:
         labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
@@ -223,59 +225,106 @@ def _jumped(hang: DataFrame) -> DataFrame:
         hang = jumped.select("a", F.coalesce("to", "b").alias("b"))
 
 
+def _prepared(docs: DataFrame) -> DataFrame:
+    """A table of doc_id, text, h (a hash of all columns but maps) and the row as ``doc``, with row numbers: texts are read from it and never shuffled."""
+    known = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(*known).alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("doc"))
+    return numbered(rows, "rows")
+
+
+def _components(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Near-duplicate classes of the rows: prints (r, doc_id, h, fp), texts (id, fp, n, first, label), and links that made the labels.
+
+    A text is all rows of one fingerprint; its id is the smallest row number among them, ``first`` its first row in the
+    order (doc_id, nulls last; h; r).
+    """
+    prints = as_table(fingerprints(rows), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "r")).alias("first")
+    texts = as_table(prints.groupBy("fp").agg(F.min("r").alias("id"), F.count("*").alias("n"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands"), first), "texts")
+    members = as_table(texts.where("bands is not null").select("id", "weight", F.explode("bands").alias("key")), "members")
+    buckets = as_table(members.groupBy("key").agg(F.min(F.struct("id", "weight")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("hub.id").alias("hub"), F.col("hub.weight").alias("hub_weight")), "buckets")
+    members = as_table(salted_join(members, buckets.drop("n"), "key", F.col("id"), counts=buckets.select("key", "n")), "shared")
+    alike = lambda x, y: f"least({x}, {y}) >= {SIMILARITY} * greatest({x}, {y})"
+
+    bags = as_table(_sets(among(rows, members.select("id").distinct(), "candidates")), "bags")
+    tested = as_table(members.where("id <> hub").where(alike("weight", "hub_weight")).groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b")), "tested")
+    links = as_table(verified(tested, bags), "links")
+    labelled = _labelled(members, components(links))
+    of_hub = labelled.where("id = hub").select("hub", F.col("label").alias("hub_label")).distinct()
+    pairs = salted_join(labelled.where("id <> hub").where(alike("weight", "hub_weight")).select("hub", "id", "label"), of_hub, "hub", F.col("id")).where("label <> hub_label")
+    pairs = as_table(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = as_table(links.unionByName(verified(pairs, bags)), "links")
+    links = as_table(links.unionByName(_across(_labelled(members, components(links)), bags)), "links")
+    return prints, texts, links
+
+
+def _first_rows(texts: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """texts with their label, and label with the class's first row."""
+    texts = as_table(texts.select("id", "fp", "n", "first").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "texts")
+    return texts, as_table(texts.groupBy("label").agg(F.min("first").alias("first")), "firsts")
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id, the smallest doc_id of its near-duplicate class, of every row of ``docs`` (doc_id, text).
+    """doc_id and class_id, the smallest doc_id of its near-duplicate class, of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Texts of the same words in the same order are copies; other texts are linked where the multisets of their runs of
     five words have a similarity of 0.8 at least, and classes are what links join. Texts without words are copies if
-    equal, and null counts as empty. Rows of one doc_id are one document, whatever texts they have. A row without
-    doc_id gets the class of its copies, else null.
+    equal, and null counts as empty. Rows of one doc_id are one document, whatever texts they have: they link them. A row
+    without doc_id gets the smallest doc_id of its class, or null where the class has none. No rows give none.
 
     Copies are collapsed first, with partial sums. Buckets of a band are never expanded into all pairs: (1) each text
     is compared with the smallest one that it shares a bucket with; (2) with the first text of each of its buckets that
     is in another class by then; (3) the texts of a bucket outside its largest class so far, with all of the bucket. That
     leaves out only pairs whose texts are in one class already, and pairs whose sizes alone rule the similarity out.
     """
-    prints = as_table(fingerprints(docs), "prints")
-    copies = as_table(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "copies")
-    texts = prints.where("bands is not null").join(copies.where("id is not null").select(F.col("id").alias("doc_id"), F.col("fp").alias("own")), "doc_id").where("fp = own")
-    texts = texts.groupBy("doc_id", "fp").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    members = as_table(texts.select(F.col("doc_id").alias("id"), "weight", F.explode("bands").alias("key")), "members")
-    buckets = as_table(members.groupBy("key").agg(F.min(F.struct("id", "weight")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.id").alias("hub"), F.col("hub.weight").alias("hub_weight")), "buckets")
-    members = as_table(members.join(buckets, "key"), "shared")
-    alike = lambda x, y: f"least({x}, {y}) >= {SIMILARITY} * greatest({x}, {y})"
+    prints, texts, links = _components(_prepared(docs.select("doc_id", "text")))
+    # texts that one doc_id has: linked to its smallest
+    own = as_table(prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.max("fp").alias("last")).where("fp <> last").drop("last"), "several")
+    if not own.isEmpty():
+        id_of = texts.select("fp", F.col("id").alias("b"))
+        several = prints.select("doc_id", F.col("fp").alias("own")).distinct()
+        several = salted_join(several, own, "doc_id", F.col("own")).where("own <> fp").select("fp", "own")
+        several = salted_join(several, id_of, "fp", F.col("own")).select("b", F.col("own").alias("fp"))
+        several = salted_join(several, id_of.withColumnRenamed("b", "a"), "fp", F.col("b")).select("a", "b")
+        links = as_table(links.unionByName(several), "links")
+    texts, firsts = _first_rows(texts, components(links))
+    of_text = salted_join(texts.select("id", "fp", "n", "label"), firsts.select("label", F.col("first.doc_id").alias("class_id")), "label", F.col("id"))
+    of_text = as_table(of_text.select("fp", "n", "class_id"), "classes")
+    return salted_join(prints.select("r", "doc_id", "fp"), of_text.drop("n"), "fp", F.col("r"), counts=of_text.select("fp", "n")).select("doc_id", "class_id")
 
-    bags = as_table(_sets(docs, members.select("id").distinct()), "bags")
-    tested = as_table(members.where("id <> hub").where(alike("weight", "hub_weight")).groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b")), "tested")
-    links = as_table(verified(tested, bags), "links")
-    labelled = _labelled(members, components(links))
-    of_hub = as_table(labelled.where("id = hub").select("hub", F.col("label").alias("hub_label")).distinct(), "hubs")
-    pairs = labelled.where("id <> hub").where(alike("weight", "hub_weight")).join(of_hub.hint("merge"), "hub").where("label <> hub_label")
-    pairs = as_table(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = as_table(links.unionByName(verified(pairs, bags)), "links")
-    links = links.unionByName(_across(_labelled(members, components(links)), bags))
-    labels = components(links).withColumnRenamed("label", "class_id")
-    to_class = as_table(copies.join(labels, "id", "left").select("fp", F.coalesce("class_id", "id").alias("class_id")), "classes")
-    found = prints.select("doc_id", "fp").join(to_class, "fp").select("doc_id", "class_id")
-    return found
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate class of texts, with all its columns: that with the smallest doc_id.
+
+    Rows without doc_id come after all others; rows of one doc_id by a hash of their columns, then as they stand in the
+    input. Unlike in ``classes``, rows of one doc_id with different texts are different documents: no text is lost
+    but for a near copy that stays. Null texts count as empty, and all texts without words that are equal are
+    one class. No rows give none.
+    """
+    rows = _prepared(docs)
+    _, texts, links = _components(rows)
+    _, firsts = _first_rows(texts, components(links))
+    kept = among(rows, firsts.select("first.r"), "kept")
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return as_table(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
 
 
-def _across(labelled: DataFrame, bags: DataFrame, cell: int = 512, cell_weight: int = 1_000_000, least: float = SIMILARITY) -> DataFrame:
+def _across(labelled: DataFrame, bags: DataFrame, cell: int = 4096, cell_weight: int = 4_000_000, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between texts of one bucket whose labels differ.
 
     The texts of a bucket's most frequent label need no comparing with each other, so only the others are held against
     all. Both are dealt into cells of bounded size; in a cell an index of the shingles gives the overlaps of a text with all
     others at once, and for each label that it reaches one link comes out. Buckets of two have been compared before.
+    A text's multiset is sent once for each cell, that is in a bucket of n texts about n / ``cell`` times.
     """
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("weight").alias("w"))
     sizes = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum("w").alias("w"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
     share = F.greatest(F.col("w") / F.col("n") * (cell / cell_weight), F.lit(1.0)) / cell  # cells for each text; more if texts are long
-    sizes = sizes.where("labels > 1 and n > 2").select("key", F.col("top.label").alias("top"), F.ceil(F.col("n") * share).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top.c")) * share).cast("int").alias("askers"))
-    rows = labelled.select("key", "id", "label").join(as_table(sizes, "open"), "key")
+    open_ = as_table(sizes.where("labels > 1 and n > 2").select("key", "n", F.col("top.label").alias("top"), F.ceil(F.col("n") * share).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top.c")) * share).cast("int").alias("askers")), "open")
+    rows = salted_join(labelled.select("key", "id", "label"), open_.drop("n"), "key", F.col("id"), counts=open_.select("key", "n"))
     number = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     asked = rows.where("label <> top").select("key", "id", "label", number("askers").alias("i"), every("parts").alias("j"), F.lit(True).alias("asks"))
@@ -331,13 +380,3 @@ def _elements(bag: bytes) -> np.ndarray:
     e, c = _open(bag)
     copy = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
     return mix(np.repeat(e, c) + copy.astype(np.uint64) * _K)
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest doc_id, with all its columns. Rows without doc_id stay, as nothing names them."""
-    found = classes(docs)
-    stay = as_table(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
-    kept = docs.join(stay.select(F.col("doc_id").alias("__stay")).hint("merge"), F.col("doc_id") == F.col("__stay"), "left_semi")
-    if not stay.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))

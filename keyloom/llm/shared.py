@@ -1,33 +1,17 @@
-"""Folders and tables that all executors and the driver share."""
+"""Tables with row numbers, membership without a shuffle of rows, joins that salt hot keys, and batches by size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import functools
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from ..plans.tables import as_table, shared_dir  # noqa: F401
 
-
-def as_uri(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``; where that is unset (tests), below one temporary folder per application."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, tempfile.mkdtemp(prefix="keyloom-") if app not in _own else "")
-    return f"{as_uri(base).rstrip('/')}/keyloom/{name}-{uuid.uuid4().hex}"
-
-
-def as_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to a shared folder and read again: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_PART = 33  # monotonically_increasing_id has the partition's number above 33 bits
 
 
 def filesystem(uri: str):
@@ -39,6 +23,63 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table with ``r``, a number of its own for each row, which stays as it was written."""
+    return as_table(rows.withColumn("r", F.monotonically_increasing_id()), name)
+
+
+def among(rows: DataFrame, numbers: DataFrame, name: str) -> DataFrame:
+    """Rows of a ``numbered`` table whose ``r`` is in ``numbers`` (one column): neither their other columns nor texts are shuffled.
+
+    The numbers are dealt by the partition that wrote the row and stored as a file for each; a scan task loads the
+    files of the partitions it meets, which are as small as partitions are.
+    """
+    folder = shared_dir(rows.sparkSession, name)
+    numbers = numbers.select(F.col(numbers.columns[0]).alias("r")).withColumn("p", F.shiftright("r", _PART))
+    numbers.repartition("p").write.partitionBy("p").parquet(folder)
+
+    def found(r: pa.Array) -> pa.Array:
+        values = r.to_numpy()
+        out = np.zeros(len(values), bool)
+        for p in np.unique(values >> _PART).tolist():
+            at = values >> _PART == p
+            out[at] = np.isin(values[at], _numbers(folder, p), assume_unique=True)
+        return pa.array(out)
+
+    found.__annotations__ = {"r": pa.Array, "return": pa.Array}
+    return rows.where(F.arrow_udf(found, "boolean")(F.col("r")))
+
+
+@functools.lru_cache(maxsize=8)
+def _numbers(folder: str, p: int) -> np.ndarray:
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    fs, base = filesystem(f"{folder}/p={p}")
+    files = [x.path for x in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if x.path.endswith(".parquet")]
+    return np.concatenate([np.zeros(0, np.int64), *(pq.ParquetFile(fs.open_input_file(x)).read(["r"]).column("r").to_numpy() for x in files)])
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: Column, how: str = "inner", counts: DataFrame | None = None, least: int = 64, share: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each key) by ``key``; rows of hot keys are dealt further by ``by``.
+
+    Hot is a key of more than a ``share``-th of all rows, and of ``least``; there are at most ``share`` such keys, which bounds
+    their broadcast. ``by`` must tell the rows of a key apart, and be the same whenever a lost task runs again.
+    ``counts`` (key, n) are the rows of each key, where known.
+    """
+    counts = counts if counts is not None else rows.groupBy(key).agg(F.count("*").alias("n"))
+    counts = counts.where(F.col(key).isNotNull())
+    top, total = counts.agg(F.max("n"), F.sum("n")).first()
+    most = max(least, (total or 0) // share)
+    if (top or 0) <= most:
+        return rows.join(table, key, how)
+    hot = as_table(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("__parts")), "hot")
+    hot = F.broadcast(hot)  # at most ``share`` rows
+    dealt = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    copies = table.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def sub_batches(batch, column: str, chars: int):
     """Rows of an Arrow batch as (row numbers, texts) with about ``chars`` characters each; null texts come as ''."""
     rows, texts, held = [], [], 0

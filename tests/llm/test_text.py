@@ -7,11 +7,13 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from keyloom.llm import audio, bagminhash, idfile, license, packing, piece, quality, toxicity
 from keyloom.llm.bpe import ChunkedBpe
+from keyloom.llm.shared import among, numbered, salted_join
 
 BPE = P.path("byte_bpe_50k.json")
 ODD = ["", " ", "a", " a", "a ", "\n", "a\nb", "a \n b", "  a  b\t c\n\nd  ", "it's we'll 'S", "x y z", "a\x1cb c \x1d d", "▁a ▁▁b▁", "日本 語テキスト 123 ４５", "<|endoftext|> a", "\x00 a\x00b", "🙂 🙂🙂 x", "a" * 3000 + " " + "b c " * 500, "a\r\nb\r c"]
@@ -229,13 +231,33 @@ def test_near_duplicates(spark):
 
 
 def test_near_duplicates_odd(spark):
-    docs = rows(spark, ["a b c d e f", "a b c d e f", "a b c d e f", "other text"], [7, 7, None, None])
+    """Repeated and missing doc_ids: rows of one doc_id are one document for classes, but keep their texts when duplicates go."""
+    alone, near = "other text of its own", "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3
+    data = [(7, "a b c d e f"), (7, "A b, c d e f!"), (None, "a b c d e f"), (None, alone), (None, alone), (8, near), (8, "quite another thing"), (3, near + "more"), (None, near + "words"), (9, None), (4, "")]
+    docs = rows(spark, [t for _, t in data], [i for i, _ in data])
     found = collections.Counter((r.doc_id, r.class_id) for r in bagminhash.classes(docs).collect())
-    assert found == {(7, 7): 2, (None, 7): 1, (None, None): 1}
-    assert [r.doc_id for r in bagminhash.deduplicate(docs).orderBy("doc_id").collect()].count(7) == 1
+    assert found == {(7, 7): 2, (None, 7): 1, (None, None): 2, (8, 3): 2, (3, 3): 1, (None, 3): 1, (9, 4): 1, (4, 4): 1}
+    kept = [(r.doc_id, r.text) for r in bagminhash.deduplicate(docs).collect()]
+    assert len(kept) == 5 and set(kept) >= {(None, alone), (8, "quite another thing"), (3, near + "more"), (4, "")} and 7 in [i for i, _ in kept]
     assert bagminhash.classes(rows(spark, [])).count() == 0
 
 
+def test_hot_keys_are_dealt_further(spark):
+    left = spark.range(1000).selectExpr("if(id < 900, 1, id) as k", "id as v", "'x' as parts")
+    right = spark.createDataFrame([(i, f"r{i}") for i in range(0, 1000, 2)] + [(1, "one")], "k long, w string")
+    want = sorted((r.k, r.v, r.w or "") for r in left.join(right, "k", "left").collect())
+    found = salted_join(left, right, "k", F.col("v"), "left", least=10)
+    assert sorted((r.k, r.v, r.w or "") for r in found.collect()) == want
+    assert "__salt" in found._jdf.queryExecution().toString()
+
+
+def test_rows_by_number(spark):
+    table = numbered(spark.range(1000).repartition(7), "t")
+    wanted = table.where("id % 3 = 0").select("r")
+    assert {x.id for x in among(table, wanted, "w").collect()} == set(range(0, 1000, 3))
+    assert among(table, wanted.limit(0), "w").count() == 0
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(5)
     a, b = (rng.integers(0, 6, 400) for _ in range(2))

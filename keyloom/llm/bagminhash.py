@@ -192,11 +192,12 @@ def components(links: DataFrame) -> DataFrame:
     """id and label, the smallest id of its component, of every end of the links (a, b).
 
     Each round, every node hooks on its smallest neighbour if that is smaller, chains are halved, and the links are
-    carried over to what the nodes hang on; nothing is collected, and links vanish at least by half each round.
+    carried over to what the nodes hang on; nothing is collected, and links vanish at least by half each round. Nodes
+    with very many links are dealt over tasks, unless few links are left.
     """
     links = as_table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     labels = None
-    while not links.isEmpty():
+    while left := links.count():
         hang = as_table(_jumped(links.groupBy("a").agg(F.min("b").alias("b"))), "hang")
         ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
         step = ends.join(hang.select(F.col("a").alias("id"), F.col("b").alias("to")), "id", "left").select("id", F.coalesce("to", "id").alias("label"))
@@ -207,7 +208,7 @@ def components(links: DataFrame) -> DataFrame:
             labels = as_table(labels.join(over, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
         for end in ("a", "b"):
             over = hang.select(F.col("a").alias(end), F.col("b").alias("to"))
-            links = salted_join(links, over, end, F.col("a" if end == "b" else "b"), "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            links = (salted_join(links, over, end, F.col("a" if end == "b" else "b"), "left") if left > 2000 else links.join(over, end, "left")).withColumn(end, F.coalesce("to", end)).drop("to")
         links = as_table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     if labels is None:
         labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
@@ -312,17 +313,19 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return as_table(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
 
 
-def _across(labelled: DataFrame, bags: DataFrame, cell: int = 4096, cell_weight: int = 4_000_000, least: float = SIMILARITY) -> DataFrame:
+def _across(labelled: DataFrame, bags: DataFrame, cell: int = 512, most_cell: int = 4096, cell_weight: int = 4_000_000, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between texts of one bucket whose labels differ.
 
     The texts of a bucket's most frequent label need no comparing with each other, so only the others are held against
     all. Both are dealt into cells of bounded size; in a cell an index of the shingles gives the overlaps of a text with all
     others at once, and for each label that it reaches one link comes out. Buckets of two have been compared before.
-    A text's multiset is sent once for each cell, that is in a bucket of n texts about n / ``cell`` times.
+    Cells grow with the bucket, so that a bucket is many tasks, yet a text's multiset is sent to few cells: in a bucket of
+    n texts at most n / ``most_cell`` times, or 8 times.
     """
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("weight").alias("w"))
     sizes = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum("w").alias("w"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
-    share = F.greatest(F.col("w") / F.col("n") * (cell / cell_weight), F.lit(1.0)) / cell  # cells for each text; more if texts are long
+    cell_ = F.greatest(F.lit(cell), F.least(F.lit(most_cell), F.col("n") / 8))
+    share = F.greatest(F.col("w") / F.col("n") / cell_weight, 1 / cell_)  # cells for each text; more if texts are long
     open_ = as_table(sizes.where("labels > 1 and n > 2").select("key", "n", F.col("top.label").alias("top"), F.ceil(F.col("n") * share).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top.c")) * share).cast("int").alias("askers")), "open")
     rows = salted_join(labelled.select("key", "id", "label"), open_.drop("n"), "key", F.col("id"), counts=open_.select("key", "n"))
     number = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")

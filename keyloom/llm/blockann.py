@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_table
+from .shared import as_table, filesystem, shared_dir
 
 _BLOCK = "block long, dim int, n int, ids binary, vectors binary"
 
@@ -108,68 +109,97 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_block(q_ids, q: np.ndarray, c_ids, c: np.ndarray, k: int, step: int = 256):
-    """For each query the k best candidates of the block: lists of ids and scores, best first, ties to smaller ids."""
+def slices(q: np.ndarray, step: int = 256) -> list[tuple[int, Quantised]]:
+    return [(i, Quantised(q[i : i + step])) for i in range(0, len(q), step)]
+
+
+def search_block(q_ids: np.ndarray, asked: list[tuple[int, Quantised]], c_ids: np.ndarray, c: np.ndarray, k: int, floor: np.ndarray):
+    """For queries with any: number, ids and scores of the up to k best candidates of the block, best first, ties to smaller ids.
+
+    ``floor`` has the k-th best score that each query has already; candidates that can't reach it are left out.
+    """
     c_q, order = Quantised(c), np.argsort(c_ids, kind="stable")
-    for i in range(0, len(q), step):
-        part, ids = q[i : i + step], q_ids[i : i + step]
-        near, bound = tile(Quantised(part), c_q)
+    for i, part in asked:
+        ids = q_ids[i : i + len(part.x)]
+        near, bound = tile(part, c_q)
         low = near - bound
         first, last = (np.searchsorted(c_ids, ids, side, sorter=order) for side in ("left", "right"))
         own = [(r, order[a:b]) for r, (a, b) in enumerate(zip(first, last)) if b > a]
         for r, at in own:
             low[r, at] = -np.inf
+        least = floor[i : i + len(ids)]
         if low.shape[1] > k:
-            least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-        else:
-            least = np.full(len(part), -np.inf)
+            least = np.maximum(least, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
         survive = near + bound >= least[:, None]
         for r, at in own:
             survive[r, at] = False
         rows, cols = np.nonzero(survive)
         scores = np.empty(len(rows))
         for j in range(0, len(rows), 1 << 16):
-            scores[j : j + (1 << 16)] = exact(part[rows[j : j + (1 << 16)]], c[cols[j : j + (1 << 16)]])
+            scores[j : j + (1 << 16)] = exact(part.x[rows[j : j + (1 << 16)]], c[cols[j : j + (1 << 16)]])
         order_ = np.lexsort((c_ids[cols], -scores, rows))
         rows, cols, scores = rows[order_], cols[order_], scores[order_]
-        starts = np.searchsorted(rows, np.arange(len(part) + 1))
-        for r in range(len(part)):
+        starts = np.searchsorted(rows, np.arange(len(ids) + 1))
+        for r in np.flatnonzero(np.diff(starts)).tolist():
             best = slice(starts[r], min(starts[r] + k, starts[r + 1]))
             yield i + r, c_ids[cols[best]].tolist(), scores[best].tolist()
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
+def _matrix(r: dict):
+    return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(r["n"], r["dim"])
+
+
+def _stripe(folder: str, stripe: int):
+    """Candidate blocks of a stripe, one at a time from the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    fs, base = filesystem(f"{folder}/stripe={stripe}")
+    for file in sorted(x.path for x in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if x.path.endswith(".parquet")):
+        with fs.open_input_file(file) as stream:
+            for batch in pq.ParquetFile(stream).iter_batches(batch_size=1):
+                yield from map(_matrix, batch.to_pylist())
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, stripe_blocks: int = 4096, stripes: int | None = None) -> DataFrame:
     """The k nearest rows by inner product for each row of ``queries`` (both vec_id, embedding): query_id, rank, vec_id, score.
 
     Exact: bounds only drop pairs that can't be among the k best. Rows with the query's own vec_id are no candidates
     for it; vectors of another dimension neither. Repeated candidate rows are candidates each; a repeated query row
-    gets a list of its own. Each pair of a query block and a candidate block is one task group of 2 * ``block`` vectors.
+    gets a list of its own. Null, zero and broken vectors and null ids take no part; no rows give none.
+
+    Candidate blocks are written once, in stripes, and never shuffled: a task holds one query block and reads the
+    blocks of one stripe, a tile at a time, with each query's k best so far in a heap-merged list. There are as many
+    stripes as keep all cores busy while query blocks are few, and else one for ``stripe_blocks`` blocks; what is shuffled are
+    the query blocks and k candidates a query, both once for each stripe.
     """
-    n, n_q = rows.count(), queries.count()
-    cands = as_table(blocks(rows, block, max(1, -(-n // block)), keep_copies=k + 1), "candidates")
-    asks = as_table(blocks(queries, block, max(1, -(-n_q // block))), "queries")
-    # one row a block; the grid below needs the blocks' numbers only
-    c_blocks, q_blocks = (x.select(F.col("block").alias(name)) for x, name in ((cands, "c"), (asks, "q")))
-    n_c, n_a = c_blocks.count(), q_blocks.count()
-    spread = lambda other: F.explode(F.sequence(F.lit(0), F.lit(max(0, other - 1))))
-    cell_of = lambda count: F.pmod(F.xxhash64("block"), F.lit(max(1, count))).cast("int")
-    left = asks.withColumn("cq", cell_of(n_a)).withColumn("cc", spread(n_c))
-    right = cands.withColumn("cc", cell_of(n_c)).withColumn("cq", spread(n_a))
+    spark = rows.sparkSession
+    n_c, n_q = (max(1, -(-x.count() // block)) for x in (rows, queries))
+    stripes = stripes or min(n_c, max(-(-4 * spark.sparkContext.defaultParallelism // n_q), -(-n_c // stripe_blocks)))
+    folder = shared_dir(spark, "candidates")
+    number = F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    blocks(rows, block, n_c, keep_copies=k + 1).withColumn("stripe", F.pmod(number, F.lit(stripes)).cast("int")).write.partitionBy("stripe").option("compression", "zstd").parquet(folder)
+    asks = as_table(blocks(queries, block, n_q), "queries")
+    grid = asks.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))).repartition(max(1, n_q * stripes))
     found_schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("at", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
-    def matrices(table):
-        for r in table.to_pylist():
-            yield r["block"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(r["n"], r["dim"])
-
-    def run(asked, against):
-        out: list[tuple] = []
-        for q_block, q_ids, q in matrices(asked):
-            for c_block, c_ids, c in matrices(against):
-                if q.shape[1] == c.shape[1]:
-                    out += [((q_block >> 32 << 40) + ((q_block & 0xFFFFF) << 20) + i, int(q_ids[i]), c_block, ids, scores) for i, ids, scores in search_block(q_ids, q, c_ids, c, k) if ids]
-        return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out) if out else [[]] * 5, found_schema)], schema=found_schema)
-
-    found = left.groupBy("cq", "cc").cogroup(right.groupBy("cq", "cc")).applyInArrow(run, "query long, query_id long, at long, ids array<long>, scores array<double>")
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                q_ids, q = _matrix(row)
+                asked, best, floor = slices(q), [[] for _ in q_ids], np.full(len(q_ids), -np.inf)
+                for c_ids, c in _stripe(folder, row["stripe"]):
+                    if q.shape[1] != c.shape[1]:
+                        continue
+                    for i, ids, scores in search_block(q_ids, asked, c_ids, c, k, floor):
+                        best[i] = list(itertools.islice(heapq.merge(best[i], zip([-x for x in scores], ids)), k))
+                        if len(best[i]) == k:
+                            floor[i] = -best[i][-1][0]
+                base = (row["block"] >> 32 << 40) + ((row["block"] & 0xFFFFF) << 20)
+                out = [(base + i, int(q_ids[i]), row["stripe"], [x for _, x in own], [-s for s, _ in own]) for i, own in enumerate(best) if own]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out) if out else [[]] * 5, found_schema)], schema=found_schema)
+
+    found = grid.mapInArrow(run, "query long, query_id long, at long, ids array<long>, scores array<double>")
 
     def merge(batches):
         """Lists of a query stand together; a heap takes the best of their heads until k are out."""

@@ -71,9 +71,9 @@ def test_nearest(spark):
     vectors += [(400 + i, vectors[7][1]) for i in range(60)]  # many copies of one vector
     vectors += [(None, vectors[3][1]), (500, None), (501, [0.0] * 16), (502, [float("nan")] * 16), (503, [None] + [1.0] * 15), (504, [1.0, 2.0]), (520, [3.0, 4.0]), (505, []), (506, [float("inf")] * 16), (9, vectors[9][1])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in vectors], "vec_id long, embedding array<float>, ids string, n int")
-    for block in (50, 4096):
-        asked = df.where("vec_id % 20 = 0")
-        found = sorted(map(tuple, blockann.nearest(df, asked, 5, block).collect()))
+    asked = df.where("vec_id % 20 = 0")
+    for block, stripes in ((50, 3), (50, 1), (4096, None)):
+        found = sorted(map(tuple, blockann.nearest(df, asked, 5, block, stripes=stripes).collect()))
         assert found == by_force(vectors, [(i, v) for i, v in vectors if i is not None and i % 20 == 0], 5)
     assert blockann.nearest(df.limit(0), df.limit(0), 5).count() == 0
     assert len(found) > 5 and blockann.nearest(df.limit(3), df.limit(3), 20).count() == 6

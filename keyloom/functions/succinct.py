@@ -39,14 +39,14 @@ def select(bits: DataFrame, pos: str = "pos", bit: str = "bit") -> DataFrame:
     return ones.join(after, "n", "left")
 
 
-def select_in_word(word: Column, n: Column) -> Column:
-    """Position of the n-th one (from 0) of a 64-bit word, lowest bit first; -1 where there are fewer."""
-    ones = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(word, i) == 1)
+def select_in_word(word: Column, n: Column, bits: int = 64) -> Column:
+    """Position of the n-th one (from 0) of the low 64 (or 32) bits, lowest first, or highest in the form below; -1 where there are fewer."""
+    ones = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.getbit(word, i) == 1)
     return F.coalesce(F.get(ones, n.cast("int")), F.lit(-1))
 
 
-def select_in_word_msb(word: Column, n: Column) -> Column:
-    ones = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(word, F.lit(63) - i) == 1)
+def select_in_word_msb(word: Column, n: Column, bits: int = 64) -> Column:
+    ones = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.getbit(word, F.lit(bits - 1) - i) == 1)
     return F.coalesce(F.get(ones, n.cast("int")), F.lit(-1))
 
 
@@ -132,28 +132,251 @@ class RankBits:
     def overhead_bits(self) -> int:
         return 64 * len(self.large) + 16 * len(self.small)
 
+    def read_bits(self) -> int:
+        """Bits that a rank looks at: two counts and a word."""
+        return 64 + 16 + 64
+
+
+class Packed:
+    """Unsigned whole numbers of one width, side by side in 64-bit words."""
+
+    def __init__(self, words: np.ndarray, n: int, width: int):
+        self.words, self.n, self.width = words, n, width
+
+    @classmethod
+    def of(cls, values) -> Packed:
+        values = np.asarray(values, np.int64).astype(np.uint64)
+        width = int(values.max(initial=0)).bit_length()
+        words = np.zeros(-(-len(values) * width // 64) + 1, np.uint64)
+        at = np.arange(len(values)) * width
+        low, shift = at >> 6, (at & 63).astype(np.uint64)
+        np.bitwise_or.at(words, low, values << shift)
+        over = shift.astype(np.int64) + width > 64
+        np.bitwise_or.at(words, low[over] + 1, values[over] >> (np.uint64(64) - shift[over]))
+        return cls(words, len(values), width)
+
+    def take(self, i: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(np.shape(i), np.int64)
+        at = np.asarray(i, np.int64) * self.width
+        shift = (at & 63).astype(np.uint64)
+        low = self.words[at >> 6] >> shift
+        high = np.where(shift, self.words[np.minimum((at >> 6) + 1, len(self.words) - 1)] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        return ((low | high) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+
+    def get(self, i: int) -> int:
+        return int(self.take(np.array([i]))[0])
+
+    def all(self) -> np.ndarray:
+        return self.take(np.arange(self.n))
+
+    def size_bits(self) -> int:
+        return self.n * self.width
+
+    def to_bytes(self) -> bytes:
+        return np.array([self.n, self.width], "<i8").tobytes() + self.words.astype("<u8").tobytes()
+
+    @classmethod
+    def read(cls, data: bytes, at: int) -> tuple[Packed, int]:
+        n, width = np.frombuffer(data, "<i8", 2, at).tolist()
+        count = -(-n * width // 64) + 1
+        return cls(np.frombuffer(data, "<u8", count, at + 16).astype(np.uint64), n, width), at + 16 + 8 * count
+
+
+def _pick(word: int, n: int) -> int:
+    """Position of the n-th one of a word that has it."""
+    for _ in range(n):
+        word &= word - 1
+    return (word & -word).bit_length() - 1
+
+
+class InventorySelect:
+    """Select in a bounded number of steps: every 1,024th position; between two of them every 32nd, in 16 bits as steps
+    from the first, where they lie close, and else all positions.
+
+    From the nearest kept position on, words are counted; what lies between has at most 31 ones.
+    """
+
+    BIG, SMALL = 1024, 32
+
+    def __init__(self, bits: np.ndarray):
+        bits = np.asarray(bits, bool)
+        ones = np.flatnonzero(bits)
+        self.ones, self.n = len(ones), len(bits)
+        padded = np.zeros(-(-max(1, self.n) // 64) * 64, bool)
+        padded[: self.n] = bits
+        self.words = np.packbits(padded.reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+        self.inventory = ones[:: self.BIG]
+        ends = np.append(self.inventory[1:], self.n)
+        self.far = {i: ones[i * self.BIG : (i + 1) * self.BIG] for i in np.flatnonzero(ends - self.inventory >= 1 << 16).tolist()}
+        steps = ones[:: self.SMALL] - np.repeat(self.inventory, self.BIG // self.SMALL)[: len(ones[:: self.SMALL])]
+        self.steps = np.minimum(steps, (1 << 16) - 1).astype(np.uint16)
+
+    def select(self, n: int) -> int:
+        if not 0 <= n < self.ones:
+            return -1
+        group = n // self.BIG
+        if group in self.far:
+            return int(self.far[group][n % self.BIG])
+        at = int(self.inventory[group]) + int(self.steps[n // self.SMALL])
+        return scan(self.words, at, n % self.SMALL)
+
+    def select_pair(self, n: int) -> tuple[int, int]:
+        return self.select(n), self.select(n + 1)
+
+    def overhead_bits(self) -> int:
+        return 64 * len(self.inventory) + 16 * len(self.steps) + 64 * sum(map(len, self.far.values()))
+
+
+def scan(words: np.ndarray, at: int, left: int) -> int:
+    """Position of the ``left``-th one from the one at ``at`` on."""
+    i = at >> 6
+    word = int(words[i]) >> (at & 63) << (at & 63)
+    while (count := word.bit_count()) <= left:
+        left -= count
+        i += 1
+        word = int(words[i])
+    return 64 * i + _pick(word, left)
+
+
+class BlockSelect:
+    """Select by blocks of 32 ones: a block's first position is a line over the block's number plus a packed difference, then words are counted."""
+
+    BLOCK = 32
+
+    def __init__(self, bits: np.ndarray | None = None, *, words=None, n=0, ones=0, line=None, rest=None):
+        if bits is None:
+            self.words, self.n, self.ones, (self.base, self.slope), self.rest = words, n, ones, line, rest
+            return
+        bits = np.asarray(bits, bool)
+        places = np.flatnonzero(bits)
+        self.n, self.ones = len(bits), len(places)
+        padded = np.zeros(-(-max(1, self.n) // 64) * 64, bool)
+        padded[: self.n] = bits
+        self.words = np.packbits(padded.reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+        firsts = places[:: self.BLOCK]
+        self.slope = int(firsts[-1]) * 65536 // max(1, len(firsts) - 1) if len(firsts) else 0
+        rest = firsts - (np.arange(len(firsts)) * self.slope >> 16)
+        self.base = int(rest.min(initial=0)) if len(rest) else 0
+        self.rest = Packed.of(rest - self.base)
+
+    def select(self, n: int) -> int:
+        if not 0 <= n < self.ones:
+            return -1
+        block = n // self.BLOCK
+        return scan(self.words, (block * self.slope >> 16) + self.base + self.rest.get(block), n % self.BLOCK)
+
+    def select_pair(self, n: int) -> tuple[int, int]:
+        return self.select(n), self.select(n + 1)
+
+    def all(self) -> np.ndarray:
+        """Every position of a one."""
+        return np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little"))
+
+    def overhead_bits(self) -> int:
+        return 128 + self.rest.size_bits()
+
+    def to_bytes(self) -> bytes:
+        return np.array([self.n, self.ones, self.base, self.slope, len(self.words)], "<i8").tobytes() + self.words.astype("<u8").tobytes() + self.rest.to_bytes()
+
+    @classmethod
+    def read(cls, data: bytes, at: int) -> tuple[BlockSelect, int]:
+        n, ones, base, slope, count = np.frombuffer(data, "<i8", 5, at).tolist()
+        words = np.frombuffer(data, "<u8", count, at + 40).astype(np.uint64)
+        rest, at = Packed.read(data, at + 40 + 8 * count)
+        return cls(words=words, n=n, ones=ones, line=(base, slope), rest=rest), at
+
 
 class EliasFanoList:
-    """A monotone list of whole numbers from 0 on: low bits of a fixed width, high ones by select."""
+    """A monotone list of whole numbers from 0 on: packed low bits of a fixed width, high ones by select."""
 
-    def __init__(self, values):
+    def __init__(self, values=None, *, low: Packed | None = None, high: BlockSelect | None = None, width: int = 0):
+        if values is None:
+            self.n, self.width, self.low, self.high = high.ones, width, low, high
+            return
         values = np.asarray(values, np.int64)
         self.n = len(values)
         self.width = (int(values[-1]) // self.n).bit_length() if self.n else 0
-        self.low = values & ((1 << self.width) - 1)
+        self.low = Packed.of(values & ((1 << self.width) - 1))
         ones = np.arange(self.n) + (values >> self.width)
         bits = np.zeros(int(ones[-1]) + 1 if self.n else 0, bool)
         bits[ones] = True
-        self.high = RankBits(bits)
+        self.high = BlockSelect(bits)
 
     def get(self, i: int) -> int:
-        return (self.high.select(i) - i << self.width) + int(self.low[i])
+        return (self.high.select(i) - i << self.width) + self.low.get(i)
 
     def get_pair(self, i: int) -> tuple[int, int]:
         return self.get(i), self.get(i + 1)
 
+    def all(self) -> np.ndarray:
+        return (self.high.all() - np.arange(self.n) << self.width) + self.low.all()
+
     def size_bits(self) -> int:
-        return self.n * self.width + self.high.n
+        """What the coded form keeps, but for its header of fixed size."""
+        return self.low.size_bits() + self.high.n + self.high.overhead_bits()
+
+    def to_bytes(self) -> bytes:
+        return np.array([self.width], "<i8").tobytes() + self.low.to_bytes() + self.high.to_bytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> EliasFanoList:
+        (width,) = np.frombuffer(data, "<i8", 1).tolist()
+        low, at = Packed.read(data, 8)
+        return cls(low=low, high=BlockSelect.read(data, at)[0], width=width)
+
+
+class MultiStageList:
+    """A list close to a line: a value is the line's, plus the least rest of its group of 64, of 8, and its own, each packed in the width that its level needs."""
+
+    GROUPS = (64, 8, 1)
+
+    def __init__(self, values=None, *, n: int = 0, base: int = 0, slope: int = 0, levels: list[Packed] | None = None):
+        if values is None:
+            self.n, self.base, self.slope, self.levels = n, base, slope, levels
+            return
+        values = np.asarray(values, np.int64)
+        self.n = len(values)
+        self.slope = (int(values[-1]) - int(values[0])) * (1 << 32) // max(1, self.n) if self.n else 0
+        rest = values - self._line(np.arange(self.n))
+        self.base = int(rest.min(initial=0)) if not self.n else int(rest.min())
+        rest, self.levels = rest - self.base, []
+        for size in self.GROUPS:
+            least = np.minimum.reduceat(rest, np.arange(0, self.n, size)) if self.n else rest
+            self.levels.append(Packed.of(least))
+            rest = rest - np.repeat(least, size)[: self.n]
+
+    def _line(self, i: np.ndarray) -> np.ndarray:
+        """In two halves, so that products stay below 2**63."""
+        high, low = self.slope >> 32, self.slope & 0xFFFFFFFF
+        return i * high + (i * low >> 32)
+
+    def take(self, i: np.ndarray) -> np.ndarray:
+        return self._line(i) + self.base + sum(level.take(i // size) for level, size in zip(self.levels, self.GROUPS))
+
+    def get(self, i: int) -> int:
+        return int(self.take(np.array([i]))[0])
+
+    def get_pair(self, i: int) -> tuple[int, int]:
+        return self.get(i), self.get(i + 1)
+
+    def all(self) -> np.ndarray:
+        return self.take(np.arange(self.n))
+
+    def size_bits(self) -> int:
+        return sum(level.size_bits() for level in self.levels)
+
+    def to_bytes(self) -> bytes:
+        return np.array([self.n, self.base, self.slope], "<i8").tobytes() + b"".join(x.to_bytes() for x in self.levels)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> MultiStageList:
+        n, base, slope = np.frombuffer(data, "<i8", 3).tolist()
+        levels, at = [], 24
+        for _ in cls.GROUPS:
+            level, at = Packed.read(data, at)
+            levels.append(level)
+        return cls(n=n, base=base, slope=slope, levels=levels)
 
 
 class ValueList:
@@ -192,4 +415,4 @@ class FenwickList:
 
 
 def monotone_list(values, elias_fano: bool = True):
-    return EliasFanoList(values) if elias_fano else FenwickList(values)
+    return EliasFanoList(values) if elias_fano else MultiStageList(values)

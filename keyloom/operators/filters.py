@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..plans.tables import as_table
-from .other import Sharded, _lookup, _sharded, peel
+from .other import Sharded, _lookup, _sharded, peeled
 from .recsplit import Model, lookup
 
 U = np.uint64
@@ -40,17 +40,10 @@ def xor_slots(h: np.ndarray, seed: int, block: int) -> tuple[np.ndarray, np.ndar
 
 def _make_xor(h: np.ndarray):
     block = (32 + 123 * len(h) // 100) // 3
-    for seed in range(1000):
-        at, fp = xor_slots(h, seed, block)
-        if (order := peel(at, 3 * block)) is not None:
-            break
-    table = np.zeros(3 * block, np.uint8)
-    for e, v in reversed(order):
-        value = fp[e]
-        for u in at[e]:
-            if u != v:
-                value ^= table[u]
-        table[v] = value
+    seed, at, rounds = peeled(h, lambda seed: xor_slots(h, seed, block)[0], 3 * block)
+    fp, table = xor_slots(h, seed, block)[1], np.zeros(3 * block, np.uint8)
+    for e, v in reversed(rounds):
+        table[v] = fp[e] ^ np.bitwise_xor.reduce(table[at[e]], axis=1)  # the free slot is still 0
     return seed, table.tobytes(), len(h)
 
 
@@ -66,25 +59,45 @@ def build_xor(keys: DataFrame, key: str, kind: str = "long") -> Sharded:
 
 
 def xor_contains(model: Sharded, df: DataFrame, key: str, out: str = "member") -> DataFrame:
-    flat = Sharded(model.table.withColumn("offset", F.lit(0).cast("long")), model.kind, model.n, model.shards, model.method)
-    return _lookup(flat, df, key, out, _test_xor).withColumn(out, F.coalesce(F.col(out) == 1, F.lit(False)))
+    """Adds whether a key may be in the set; false for null keys."""
+    if out in df.columns:
+        raise ValueError(f"there is a column {out} already")
+    found = _lookup(model, df, key, "__in_xor", lambda h, seed, data, n, size: _test_xor(h, seed, data, n, size) * _YES)
+    return found.select(*df.columns, F.coalesce(F.col("__in_xor") >= _YES, F.lit(False)).alias(out))
+
+
+_YES = 1 << 60  # above all offsets of shards, which lookups add
+
+
+def xor_to_bytes(h: np.ndarray) -> bytes:
+    """A filter of one shard as bytes: number of fingerprints and seed as big-endian 32-bit numbers, then the fingerprints."""
+    seed, table, _ = _make_xor(np.sort(h))
+    return len(table).to_bytes(4, "big") + seed.to_bytes(4, "big") + table
+
+
+def xor_test_bytes(data: bytes, h: np.ndarray) -> np.ndarray:
+    """Whether hashes may be in the set of a filter stored by ``xor_to_bytes``."""
+    size, seed = int.from_bytes(data[:4], "big"), int.from_bytes(data[4:8], "big")
+    if len(data) != 8 + size:
+        raise ValueError("a filter of another size")
+    return _test_xor(h, seed, data[8:], 0, size) == 1
 
 
 def mark(model: Model, df: DataFrame, key: str) -> DataFrame:
-    """Bitmaps of the indexes that occur: a row of 32,768 bits for each stretch of indexes."""
-    found = lookup(model, df, key).where("idx is not null")
-    return found.groupBy(F.bitmap_bucket_number("idx").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("idx")).alias("bitmap"))
+    """Bitmaps of the indexes that occur: a row (part, bitmap) of 32,768 bits for each stretch of indexes."""
+    found = lookup(model, df.select(F.col(key).alias("__k")), "__k", "__i").where("__i is not null")
+    return found.groupBy(F.bitmap_bucket_number("__i").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__i")).alias("bitmap"))
 
 
 def unmarked(model: Model, marks: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Keys whose bit isn't set."""
-    bit = F.bitmap_bit_position("idx")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(floor(__bit / 8) as int) + 1, 1)")), 16, 10).cast("int")
-    found = lookup(model, keys, key).withColumn("part", F.bitmap_bucket_number("idx")).join(marks, "part", "left").withColumn("__bit", bit)
-    is_set = F.col("bitmap").isNotNull() & (F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), F.col("__bit") % 8).cast("int")) != 0)
+    """Rows whose key's bit isn't set, with their own columns whatever they are named."""
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(floor(__bit / 8) as int) + 1, 1)")), 16, 10).cast("int")
+    marks = marks.select(F.col("part").alias("__part"), F.col("bitmap").alias("__bitmap"))
+    found = lookup(model, keys, key, "__i").withColumn("__part", F.bitmap_bucket_number("__i")).withColumn("__bit", F.bitmap_bit_position("__i")).join(marks, "__part", "left")
+    is_set = F.col("__bitmap").isNotNull() & (byte.bitwiseAND(F.pow(F.lit(2), F.col("__bit") % 8).cast("int")) != 0)
     return found.where(~F.coalesce(is_set, F.lit(False))).select(*keys.columns)
 
 
 def dense_counts(model: Model, df: DataFrame, key: str) -> DataFrame:
-    """How often each index occurs; no key is kept."""
-    return lookup(model, df, key).groupBy("idx").agg(F.count("*").alias("cnt"))
+    """idx and cnt, how often each index occurs; no key is kept."""
+    return lookup(model, df.select(F.col(key).alias("__k")), "__k").groupBy("idx").agg(F.count("*").alias("cnt"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,46 +14,77 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions.succinct import prefix_sum
-from ..plans.tables import as_table
-from .recsplit import hashed, universal_hash, whole_buckets
+from ..plans.tables import as_table, part_files, shared_dir, write_parts
+from .recsplit import hashed, scattered, universal_hash, whole_buckets
 
 U = np.uint64
 SHARD = 20_000  # keys in a shard on average, so that a shard fits in a task whatever the number of keys
 
 
-def peel(edges: np.ndarray, vertices: int) -> list[tuple[int, int]] | None:
-    """(edge, its free vertex) in an order in which every edge has a vertex that no later one touches; None where a core is left."""
+def peel(edges: np.ndarray, vertices: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """Rounds of (edges, their free vertices): in each round all edges go that alone have some vertex. None where a core is left.
+
+    No vertex is free for two edges of a round, and none is touched by edges of later rounds.
+    """
+    edges, left, rounds = np.asarray(edges), np.arange(len(edges)), []
     degree = np.bincount(edges.ravel(), minlength=vertices)
-    mixed = np.zeros(vertices, np.int64)
-    for j in range(edges.shape[1]):
-        np.bitwise_xor.at(mixed, edges[:, j], np.arange(len(edges)))
-    degree, mixed, todo, order = degree.tolist(), mixed.tolist(), np.flatnonzero(degree == 1).tolist(), []
-    rows = edges.tolist()
-    while todo:
-        v = todo.pop()
-        if degree[v] != 1:
-            continue
-        e = mixed[v]
-        order.append((e, v))
-        for u in rows[e]:
-            degree[u] -= 1
-            mixed[u] ^= e
-            if degree[u] == 1:
-                todo.append(u)
-    return order if len(order) == len(edges) else None
+    while len(left):
+        alone = degree[edges[left]] == 1
+        go = alone.any(axis=1)
+        if not go.any():
+            return None
+        gone = left[go]
+        rounds.append((gone, edges[gone, alone[go].argmax(axis=1)]))
+        np.subtract.at(degree, edges[gone].ravel(), 1)
+        left = left[~go]
+    return rounds
 
 
 @dataclass
 class Sharded:
-    """A function of shards: a row each (bucket, n, seed, data, offset)."""
+    """A function of shards: a row each (bucket, n, size, seed, data, offset), in files of ``PART`` shards below ``path``."""
 
     table: DataFrame
+    path: str
     kind: str
     n: int
     shards: int
     method: str
     parameters: tuple = ()
 
+    @classmethod
+    def of(cls, table: DataFrame, kind: str, n: int, shards: int, method: str, parameters: tuple = (), path: str | None = None) -> Sharded:
+        path = path or shared_dir(table.sparkSession, method)
+        stored = write_parts(table.select("bucket", "n", "size", "seed", "data", "offset").withColumn("part", F.floor(F.col("bucket") / PART)), "part", path)
+        return cls(stored, path, kind, n, shards, method, parameters)
+
+
+PART = 64  # shards in a file
+FEW_PARTS = 32  # functions of at most as many files are evaluated where the rows are
+_STORED = "bucket long, n long, size long, seed long, data binary, offset long"
+
+
+def save_sharded(model: Sharded, path: str) -> dict:
+    Sharded.of(model.table, model.kind, model.n, model.shards, model.method, model.parameters, path)
+    return {"kind": model.kind, "n": model.n, "shards": model.shards, "method": model.method, "parameters": list(model.parameters)}
+
+
+def load_sharded(spark, path: str, meta: dict) -> Sharded:
+    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    return Sharded(spark.read.schema(_STORED).parquet(path).drop("part"), path, meta["kind"], meta["n"], meta["shards"], meta["method"], tuple(meta["parameters"]))
+
+
+def sharded_bytes(model: Sharded) -> bytes:
+    """One string of a function of few shards."""
+    rows = [[*r[:4], r.data.hex(), r.offset] for r in model.table.collect()]
+    return json.dumps([model.kind, model.n, model.shards, model.method, list(model.parameters), rows]).encode()
+
+
+def sharded_from_bytes(spark, data: bytes) -> Sharded:
+    kind, n, shards, method, parameters, rows = json.loads(data)
+    rows = [(*r[:4], bytearray.fromhex(r[4]), r[5]) for r in rows]
+    return Sharded.of(spark.createDataFrame(rows, _STORED), kind, n, shards, method, tuple(parameters))
+
 
 def _sharded(keys: DataFrame, key: str, kind: str, method: str, make: Callable, parameters: tuple = (), per_shard: int = SHARD) -> Sharded:
     n = keys.count()
@@ -61,43 +94,52 @@ def _sharded(keys: DataFrame, key: str, kind: str, method: str, make: Callable,
     def run(batches):
         for chunk in whole_buckets(batches, 1):
             bucket = chunk.column("bucket").to_numpy()
-            for b in np.unique(bucket).tolist():
-                at = np.flatnonzero(bucket == b)
-                own = chunk.slice(int(at[0]), len(at))
-                hashes = np.sort(own.column("h").to_numpy().view(U))
+            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            for first, last in zip(edges, edges[1:]):
+                hashes = np.sort(chunk.column("h").to_numpy()[first:last].view(U))
                 if (np.diff(hashes) == 0).any():
                     raise ValueError("keys repeat, or have equal hashes")
                 seed, data, size = make(hashes, *parameters)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((b, pa.int64()), (len(own), pa.int64()), (size, pa.int64()), (seed, pa.int64()), (data, pa.binary()))], ["bucket", "n", "size", "seed", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((int(bucket[first]), pa.int64()), (len(hashes), pa.int64()), (size, pa.int64()), (seed, pa.int64()), (data, pa.binary()))], ["bucket", "n", "size", "seed", "data"])
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "h")
     table = as_table(dealt.mapInArrow(run, "bucket long, n long, size long, seed long, data binary"), method)
-    return Sharded(as_table(prefix_sum(table, "bucket", "size", "offset"), method), kind, n, shards, method, parameters)
+    placed = prefix_sum(table, "bucket", "size", "offset").withColumn("offset", F.col("offset").cast("long"))
+    return Sharded.of(placed, kind, n, shards, method, parameters)
+
+
+@functools.lru_cache(maxsize=FEW_PARTS + 8)
+def _rows(folder: str, part: int) -> dict:
+    return {r["bucket"]: r for f in part_files(f"{folder}/part={part}") for r in f.read(["bucket", "n", "size", "seed", "data", "offset"]).to_pylist()}
 
 
 def _lookup(model: Sharded, df: DataFrame, key: str, out: str, place: Callable) -> DataFrame:
-    names = df.columns
-    kind = "long" if model.kind == "long" else "string"
-    rows = df.withColumn("__h", universal_hash(F.col(key).cast(kind), model.kind))
-    rows = rows.withColumn("__bucket", H.reduce_range(F.col("__h"), model.shards))
-    schema = rows.select(*names).schema.add(out, "long")
-    parameters = model.parameters
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        index = np.zeros(left.num_rows, np.int64)
-        found = np.zeros(left.num_rows, bool)
-        if right.num_rows and left.num_rows:
-            (r,) = right.to_pylist()
-            found = np.array(left.column("__h").combine_chunks().is_valid())
-            h = left.column("__h").combine_chunks().fill_null(0).to_numpy().view(U)
-            index = place(h, r["seed"], r["data"], r["n"], r["size"], *parameters) + r["offset"]
-        return left.select(names).append_column(out, pa.array(index, pa.int64(), mask=~found))
-
-    # a shard's queries are dealt further, so that one shard with very many of them isn't one task
-    salts = 8
-    left = rows.withColumn("__salt", F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int")).groupBy("__bucket", "__salt")
-    right = model.table.withColumnRenamed("bucket", "__bucket").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).groupBy("__bucket", "__salt")
-    return left.cogroup(right).applyInArrow(run, schema)
+    """Rows stay where they are: tasks load the files of the shards that their keys need, and work through a batch shard by shard.
+
+    Functions of very many files have the rows dealt by file first, in partitions that Spark splits where a file is asked
+    for very often. Null keys get null; a column named like ``out`` is an error.
+    """
+    if out in df.columns:
+        raise ValueError(f"there is a column {out} already")
+    folder, kind, shards, parameters = model.path, model.kind, model.shards, model.parameters
+    rows = df.withColumn("__shard_key", F.col(key).cast("long" if kind == "long" else "string"))
+    if -(-shards // PART) > FEW_PARTS and not df.isStreaming:
+        rows = rows.withColumn("__shard_part", F.floor(H.reduce_range(universal_hash(F.col("__shard_key"), kind), shards) / PART)).hint("rebalance", "__shard_part")
+
+    def run(keys: pa.Array) -> pa.Array:
+        h = H.key_hashes(keys.drop_null(), 0, kind)
+        shard = H.np_reduce(h, shards).astype(np.int64)
+        found, order = np.full(len(h), -1), np.argsort(shard, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            b = int(shard[own[0]]) if len(own) else -1
+            if r := _rows(folder, b // PART).get(b) if b >= 0 else None:
+                found[own] = place(h[own], r["seed"], r["data"], r["n"], r["size"], *parameters) + r["offset"]
+        return scattered(found, keys)
+
+    run.__annotations__ = {"keys": pa.Array, "return": pa.Array}
+    found = F.arrow_udf(run, "long")("__shard_key")
+    # absent keys of a shard without keys
+    return rows.withColumn(out, found).withColumn(out, F.when(F.col(out) >= 0, F.col(out))).select(*df.columns, out)
 
 
 # ---- BDZ ----
@@ -109,31 +151,42 @@ def bdz_vertices(h: np.ndarray, seed: int, m: int) -> np.ndarray:
     return np.stack([H.np_reduce(H.np_mix64(h + U(3 * seed + j)), third).astype(np.int64) + j * third for j in range(3)], axis=1)
 
 
+def peeled(h: np.ndarray, edges_of: Callable[[int], np.ndarray], vertices: int) -> tuple[int, np.ndarray, list]:
+    """The first seed under which everything peels, its edges and the rounds."""
+    for seed in range(1000):
+        edges = edges_of(seed)
+        if (rounds := peel(edges, vertices)) is not None:
+            return seed, edges, rounds
+    raise ValueError("no seed lets the keys be peeled")
+
+
 def _make_bdz(h: np.ndarray):
     m = (3 + 123 * len(h) // 100) // 3 * 3 + 3
-    for seed in range(1000):
-        edges = bdz_vertices(h, seed, m)
-        if (order := peel(edges, m)) is not None:
-            break
+    seed, edges, rounds = peeled(h, lambda seed: bdz_vertices(h, seed, m), m)
     g = np.full(m, 3, np.uint8)
-    for e, v in reversed(order):
-        others = sum(int(g[u]) % 3 for u in edges[e] if u != v)
-        j = int(np.flatnonzero(edges[e] == v)[0])
-        g[v] = (j - others) % 3
+    for e, v in reversed(rounds):
+        # the free vertex still counts as 3, that is as 0 modulo 3
+        g[v] = ((edges[e] == v[:, None]).argmax(axis=1) - (g[edges[e]] % 3).sum(axis=1, dtype=np.int64)) % 3
     # two bits a vertex; 3 marks the unused ones, whose value counts as 0
     return seed, np.packbits(np.unpackbits(g[:, None], axis=1)[:, 6:].ravel()).tobytes(), len(h)
 
 
 def _place_bdz(h, seed, data, n, size):
     m = (3 + 123 * n // 100) // 3 * 3 + 3
-    bits = np.unpackbits(np.frombuffer(data, np.uint8))[: 2 * m].reshape(m, 2)
-    g = bits[:, 0] * 2 + bits[:, 1]
-    used = np.concatenate([[0], np.cumsum(g != 3)])
+    g, used = _bdz_table(data, m)
     edges = bdz_vertices(h, seed, m)
     which = (g[edges] % 3).sum(axis=1) % 3
     return used[edges[np.arange(len(h)), which]]
 
 
+@functools.lru_cache(maxsize=64)
+def _bdz_table(data: bytes, m: int):
+    """Values of a shard's vertices and the ranks of the used ones."""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))[: 2 * m].reshape(m, 2)
+    g = bits[:, 0] * 2 + bits[:, 1]
+    return g, np.concatenate([[0], np.cumsum(g != 3)])
+
+
 def build_bdz(keys: DataFrame, key: str, kind: str = "long") -> Sharded:
     """Hypergraph peeling: 2 bits for each of 1.23 n vertices, and their ranks."""
     return _sharded(keys, key, kind, "bdz", _make_bdz)
@@ -219,25 +272,26 @@ def lookup_k_chd(model: Sharded, df: DataFrame, key: str, out: str = "slot") ->
 # ---- levels of collision bits ----
 
 
-def bbhash_levels(keys: DataFrame, key: str, gamma: float = 2.0, most: int = 24) -> DataFrame:
+def bbhash_levels(keys: DataFrame, key: str, gamma: float = 2.0, most: int | None = None) -> DataFrame:
     """level, key and slot of every key: on each level, keys alone in their slot stay and the others go down.
 
-    Native throughout; the number of levels doesn't grow with the keys. Keys left on the last level stay unplaced and
-    come with a null slot. Nulls are left out, and keys must be distinct.
+    Native throughout. Levels go on until no key is left, so their number grows with the logarithm of the keys; with
+    ``most`` of them, the keys left come with a null slot. Nulls are left out, and keys must be distinct: ones that still
+    share every slot after 128 levels are an error.
     """
     rest = as_table(keys.select(F.col(key).cast("long").alias("key")).where("key is not null"), "level")
-    placed = None
-    for level in range(most):
-        n = rest.count()
-        if not n:
-            break
+    placed, level = None, 0
+    while (n := rest.count()) and level != most:
+        if level == 128:
+            raise ValueError("keys repeat")
         size = max(1, int(n * gamma))
         with_slot = H.with_wrapped(rest, slot=H.reduce_range(H.mix64(F.col("key") + level), size))
         alone = with_slot.groupBy("slot").agg(F.count("*").alias("c"), F.min("key").alias("key"))
         here = as_table(alone.where("c = 1").select(F.lit(level).alias("level"), "key", "slot"), "placed")
         placed = here if placed is None else placed.unionByName(here)
         rest = as_table(rest.join(here.select("key"), "key", "left_anti"), "level")
-    left = rest.select(F.lit(most).alias("level"), "key", F.lit(None).cast("long").alias("slot"))
+        level += 1
+    left = rest.select(F.lit(level).alias("level"), "key", F.lit(None).cast("long").alias("slot"))
     return left if placed is None else placed.unionByName(left)
 
 
@@ -247,8 +301,8 @@ def bbhash_counts(levels: DataFrame) -> DataFrame:
     return placed.unionByName(levels.where("slot is null").agg(F.lit(None).cast("int").alias("level"), F.count("*").alias("placed")))
 
 
-def bbhash_level_sql(column: str, table: str, gamma: float, levels: int) -> str:
-    """The first levels' counts in SQL: the same loop unrolled."""
+def bbhash_level_sql(column: str, table: str, gamma: float) -> str:
+    """The counts of all levels in SQL, by recursion: keys that share their slot go on to the next level."""
     wide = lambda x: f"(({x})::uhugeint % 18446744073709551616::uhugeint)"
 
     def mixed(x):
@@ -256,26 +310,26 @@ def bbhash_level_sql(column: str, table: str, gamma: float, levels: int) -> str:
         b = wide(f"xor({a}, {a} >> 27) * {H.M2}::uhugeint")
         return f"xor({b}, {b} >> 31)"
 
-    parts, source = [], f"(select distinct {column}::uhugeint as k from {table} where {column} is not null)"
-    for level in range(levels):
-        parts.append(f"r{level} as (select k from {source}), s{level} as (select k, (({mixed(f'(k + {level}::uhugeint)')} & 4294967295::uhugeint) * greatest(1, floor((select count(*) from r{level}) * {gamma}))::uhugeint) >> 32 as slot from r{level}), a{level} as (select min(k) as k from s{level} group by slot having count(*) = 1)")
-        source = f"(select k from r{level} where k not in (select k from a{level}))"
-    union = " union all ".join(f"select {i} as level, count(*) as placed from a{i}" for i in range(levels))
-    return f"with {', '.join(parts)} {union}"
+    def placed(source):
+        slot = f"(({mixed('(k + level::uhugeint)')} & 4294967295::uhugeint) * greatest(1, floor(n * {gamma}))::uhugeint) >> 32"
+        return f"select level, k, count(*) over (partition by slot) as c from (select level, k, {slot} as slot from (select level, k, count(*) over () as n from {source}))"
+
+    base = f"(select distinct 0 as level, {column}::uhugeint as k from {table} where {column} is not null)"
+    return f"with recursive t as ({placed(base)} union all {placed('(select level + 1 as level, k from t where c > 1)')}) select level, count(*) as placed from t where c = 1 group by 1 union all select null, 0"
 
 
 # ---- cuckoo ----
 
 
 class Cuckoo:
-    """Keys in two slots' reach: an insertion pushes others on, and after too many pushes all are placed anew."""
+    """Keys in two slots' reach: an insertion pushes others on, and after too many pushes all are placed anew under another seed."""
 
     def __init__(self, keys: np.ndarray):
         self.size = max(2, int(len(keys) * 1.05 / 2) + 1)
         for seed in range(0, 10_000, 2):
             if seed and seed % 20 == 0:
                 self.size += self.size // 10 + 1
-            self.seed, self.slots = seed, [-1] * (2 * self.size)
+            self.seed = seed
             if self._fill(keys):
                 return
         raise ValueError("keys repeat")
@@ -284,55 +338,101 @@ class Cuckoo:
         return np.stack([H.np_reduce(H.np_mix64(keys + U(self.seed + j)), self.size).astype(np.int64) + j * self.size for j in (0, 1)], axis=1)
 
     def _fill(self, keys) -> bool:
-        at = self.places(keys).tolist()
-        for i in range(len(keys)):
-            spot, item = at[i][0], i
-            for _ in range(64 + 4 * len(keys).bit_length()):
-                item, self.slots[spot] = self.slots[spot], item
-                if item < 0:
-                    break
-                spot = at[item][1] if spot == at[item][0] else at[item][0]
-            else:
-                return False
-        return True
+        """All keys at once, then those that were pushed out to their other slot, until none is left."""
+        at = self.places(keys)
+        self.slots = np.full(2 * self.size, -1)
+        moving, to = np.arange(len(keys)), at[:, 0]
+        for _ in range(200 + 20 * len(keys).bit_length()):
+            # of the keys that want one slot the first one takes it; it pushes out who is there
+            taken, first = np.unique(to, return_index=True)
+            out = self.slots[taken]
+            self.slots[taken] = moving[first]
+            late = np.ones(len(moving), bool)
+            late[first] = False
+            moving, came_to = np.concatenate([moving[late], out[out >= 0]]), np.concatenate([to[late], taken[out >= 0]])
+            if not len(moving):
+                return True
+            to = np.where(came_to == at[moving, 0], at[moving, 1], at[moving, 0])
+        return False
 
     def find(self, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Number of the key in ``own`` (the keys it was made of), or -1."""
-        slots = np.array(self.slots)
         out = np.full(len(keys), -1)
         for column in self.places(keys).T:
-            i = slots[column]
+            i = self.slots[column]
             hit = (i >= 0) & (own[np.maximum(i, 0)] == keys)
             out[hit] = i[hit]
         return out
 
 
-def cuckoo_lookup(entries: DataFrame, df: DataFrame, key: str, value: str, out: str = "value", shards: int | None = None) -> DataFrame:
-    """Adds the value that ``entries`` (distinct long keys) has for each key, or null: a cuckoo table for each shard.
+class LongSet:
+    """A set of 64-bit keys that are not 0, which marks an empty slot: ``contains``, and ``index``, the slot of a key or -1."""
+
+    def __init__(self, keys):
+        keys = np.asarray(keys, np.int64)
+        if (keys == 0).any() or len(np.unique(keys)) < len(keys):
+            raise ValueError("keys repeat, or one is 0")
+        self.table = Cuckoo(keys.view(U))
+        self.slots = np.zeros(len(self.table.slots), np.int64)
+        used = self.table.slots >= 0
+        self.slots[used] = keys[self.table.slots[used]]
+
+    def index(self, keys) -> np.ndarray:
+        keys = np.asarray(keys, np.int64)
+        out = np.full(len(keys), -1)
+        for column in self.table.places(keys.view(U)).T:
+            out = np.where((self.slots[column] == keys) & (keys != 0), column, out)
+        return out
 
-    Queries of a shard are dealt over tasks, each with a copy of the shard's table.
+    def contains(self, keys) -> np.ndarray:
+        return self.index(keys) >= 0
+
+
+def cuckoo_lookup(entries: DataFrame, df: DataFrame, key: str, value: str, out: str = "value", per_part: int = 50_000) -> DataFrame:
+    """Adds the value that ``entries`` (distinct long keys; null ones left out) has for each key, or null: a cuckoo table for each part of the entries.
+
+    Parts are files; tasks load those that their keys need and keep their tables. Where there are many, the rows are
+    dealt by part first, in partitions that Spark splits where a part is asked for very often.
     """
-    n = entries.count()
-    shards = shards or max(1, -(-n // 5_000))
-    names = df.columns
-    pairs = entries.select(F.col(key).cast("long").alias("__k"), F.col(value).cast("string").alias("__v")).where("__k is not null")
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
-    left = df.withColumn("__k", F.col(key).cast("long")).withColumn("__s", shard("__k")).withColumn("__salt", F.pmod(F.xxhash64(*names), F.lit(8)).cast("int"))
-    right = pairs.withColumn("__s", shard("__k")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    schema = df.schema.add(out, "string")
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = np.full(a.num_rows, -1)
-        if b.num_rows and a.num_rows:
-            own = b.column("__k").to_numpy().view(U)
-            k = a.column("__k").combine_chunks()
-            found = Cuckoo(own).find(k.fill_null(0).to_numpy().view(U), own)
-            found[~np.array(k.is_valid())] = -1
-        values = b.column("__v").combine_chunks() if b.num_rows else pa.array([None], pa.string())
-        picked = values.take(pa.array(found, pa.int64(), mask=found < 0))
-        return a.select(names).append_column(out, picked.cast(pa.string()))
-
-    return left.groupBy("__s", "__salt").cogroup(right.groupBy("__s", "__salt")).applyInArrow(run, schema)
+    if out in df.columns:
+        raise ValueError(f"there is a column {out} already")
+    parts, folder = max(1, -(-entries.count() // per_part)), shared_dir(df.sparkSession, "cuckoo")
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    pairs = entries.select(F.col(key).cast("long").alias("k"), F.col(value).cast("string").alias("v")).where("k is not null")
+    write_parts(pairs.withColumn("p", part(F.col("k"))), "p", folder)
+    rows = df.withColumn("__cuckoo_key", F.col(key).cast("long")).withColumn("__cuckoo_part", part(F.col("__cuckoo_key")))
+    if parts > FEW_PARTS and not df.isStreaming:
+        rows = rows.hint("rebalance", "__cuckoo_part")
+
+    def run(keys: pa.Array, numbers: pa.Array) -> pa.Array:
+        known = np.flatnonzero(np.array(keys.is_valid()))
+        k, p = keys.fill_null(0).to_numpy(), numbers.fill_null(0).to_numpy()
+        at, found, base = np.full(len(k), -1), [], 0
+        for number in np.unique(p[known]).tolist():
+            own = known[p[known] == number]
+            if (table := _cuckoo(folder, number)) is not None:
+                i = table[0].find(k[own].view(U), table[1])
+                at[own] = np.where(i >= 0, i + base, -1)
+                found.append(table[2])
+                base += len(table[2])
+        values = pa.chunked_array(found, pa.string()).combine_chunks() if found else pa.array([], pa.string())
+        return values.take(pa.array(at, pa.int64(), mask=at < 0))
+
+    run.__annotations__ = {"keys": pa.Array, "numbers": pa.Array, "return": pa.Array}
+    return rows.withColumn(out, F.arrow_udf(run, "string")("__cuckoo_key", "__cuckoo_part")).select(*df.columns, out)
+
+
+@functools.lru_cache(maxsize=FEW_PARTS + 8)
+def _cuckoo(folder: str, part: int):
+    """A part's table, keys and values."""
+    tables = [f.read(["k", "v"]) for f in part_files(f"{folder}/part={part}")]
+    if not tables:
+        return None
+    rows = pa.concat_tables(tables).combine_chunks()
+    keys = rows.column("k").to_numpy().view(U)
+    if len(np.unique(keys)) < len(keys):
+        raise ValueError("keys repeat")
+    return Cuckoo(keys), keys, rows.column("v").combine_chunks()
 
 
 def bucket_skew(df: DataFrame, key: str, buckets: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import asdict, dataclass
 
@@ -11,14 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..functions.codes import BitBuffer
-from ..functions.succinct import prefix_sum
-from ..plans.planner import node_counts, parts_of, split_rules
-from ..plans.tables import as_table
+from ..functions.codes import BitBuffer, pack_rice, unpack_rice
+from ..functions.succinct import EliasFanoList, MultiStageList, monotone_list, prefix_sum
+from ..plans.planner import parts_of, rules_of, split_rules
+from ..plans.tables import as_table, part_files, shared_dir, write_parts
 
 U = np.uint64
 UNIVERSAL_SHIFT = 18  # a new universal hash after 2**18 supplemental ones
 CHUNK = 1 << 16
+PART_SHIFT = 12  # buckets of one file of a function: 4,096
+FEW_PARTS = 48  # functions of at most as many files are evaluated where the rows are
 
 
 @dataclass(frozen=True)
@@ -34,12 +37,16 @@ class Options:
     average_bucket_size: int = 100
     mode: str = "recsplit"
     overflow: int = 8
+    split_mode: str = "optimised"  # or "legacy": the older rule of fan-outs
+    lists: str = "elias_fano"  # or "multi_stage": the lists of the one-string form
 
     def __post_init__(self):
         if not 2 <= self.leaf_size <= 18:
             raise ValueError("leaf_size must be in 2..18")
         if not 4 <= self.average_bucket_size <= 65536:
             raise ValueError("average_bucket_size must be in 4..65536")
+        if self.mode not in ("recsplit", "fast") or self.split_mode not in ("optimised", "legacy") or self.lists not in ("elias_fano", "multi_stage"):
+            raise ValueError("unknown mode")
 
     def max_size(self) -> int:
         return 64 if self.mode == "fast" else max(self.overflow * self.average_bucket_size, self.leaf_size)
@@ -57,7 +64,7 @@ class Options:
             for m in range(2, len(n)):
                 nodes[m] = 1 if m <= self.leaf_size else 1 + nodes[m // 2] + nodes[m - m // 2]
             return split, k, nodes
-        return *split_rules(self.leaf_size, self.max_size()), node_counts(self.leaf_size, self.max_size())
+        return rules_of(self.leaf_size, self.max_size(), self.split_mode)
 
     def low32(self, hashes: np.ndarray, index: np.ndarray) -> np.ndarray:
         if self.mode == "fast":
@@ -71,41 +78,61 @@ class Options:
 class Model:
     """A function: one row for each bucket (bucket, n, nodes, bit_len, alt, offset), its options and the number of keys.
 
-    Keys of buckets that overflow are in ``fallback``, whose indexes follow the others.
+    The table's files, of 4,096 buckets each, lie in ``path``. Keys of buckets that overflow are in ``fallback``, whose
+    indexes follow the others.
     """
 
     table: DataFrame
+    path: str
     options: Options
     n: int
     buckets: int
     fallback: object = None
     fallback_offset: int = 0
 
+    @classmethod
+    def of(cls, table: DataFrame, options: Options, n: int, buckets: int, path: str | None = None) -> Model:
+        """From rows (bucket, n, nodes, bit_len, alt, offset)."""
+        path = path or shared_dir(table.sparkSession, "model")
+        stored = write_parts(table.withColumn("part", F.shiftright("bucket", PART_SHIFT)), "part", path)
+        return cls(stored, path, options, n, buckets)
+
     def save(self, path: str) -> None:
-        meta = json.dumps({"options": asdict(self.options), "n": self.n, "buckets": self.buckets, "hash": "siphash-2-4" if self.options.kind != "long" else "long-block-4"})
+        """Buckets, what overflowed, and the options, below ``path``."""
+        from .other import save_sharded
+
+        meta = {"options": asdict(self.options), "n": self.n, "buckets": self.buckets, "fallback_offset": self.fallback_offset, "hash": "siphash-2-4" if self.options.kind != "long" else "long-block-4"}
         if self.fallback is not None:
-            raise ValueError("functions with overflown buckets are saved after building with larger limits")
-        self.table.write.parquet(f"{path}/buckets")
-        self.table.sparkSession.createDataFrame([(meta,)], "meta string").coalesce(1).write.text(f"{path}/meta")
+            meta["fallback"] = save_sharded(self.fallback, f"{path}/fallback")
+        write_parts(self.table.withColumn("part", F.shiftright("bucket", PART_SHIFT)), "part", f"{path}/buckets")
+        self.table.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.text(f"{path}/meta")
 
     @classmethod
     def load(cls, spark, path: str, expected: Options | None = None) -> Model:
         """Options that differ from the expected ones are an error, as evaluating would give arbitrary numbers."""
+        from .other import load_sharded
+
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         options = Options(**meta["options"])
         if expected is not None and expected != options:
             raise ValueError(f"built with {options}, asked for {expected}")
-        return cls(spark.read.parquet(f"{path}/buckets"), options, meta["n"], meta["buckets"])
+        fallback = load_sharded(spark, f"{path}/fallback", meta["fallback"]) if "fallback" in meta else None
+        buckets = f"{path}/buckets" if "://" in path or path.startswith("file:") else f"file://{path}/buckets"
+        return cls(spark.read.schema(_STORED).parquet(buckets).drop("part"), buckets, options, meta["n"], meta["buckets"], fallback, meta["fallback_offset"])
 
     def space(self) -> DataFrame:
-        """n, bits of the trees, bits of two monotone lists (keys and bits before each bucket, less their smallest steps) and bits a key."""
+        """n, bits of the trees, bits of the two Elias-Fano lists of ``to_bytes`` (keys and bits before each bucket, less their smallest steps), and bits a key."""
+        rows = self.table.where("not alt")
         tree = F.coalesce(F.sum("bit_len"), F.lit(0))
 
-        def entry(column):
-            return 2 + F.ceil(F.log2(F.avg(column) - F.min(column) + 1))
+        def entries(column):
+            """Low parts and upper bits of a list that ends at the sum less as many smallest steps."""
+            step = F.when(F.count("*") < self.buckets, F.lit(0)).otherwise(F.min(column))
+            last, n = F.coalesce(F.sum(column) - self.buckets * step, F.lit(0)), F.lit(self.buckets + 1)
+            width = F.when(last >= n, F.floor(F.log2(F.floor(last / n).cast("double"))) + 1).otherwise(0)
+            return n * width + n + F.floor(last / F.pow(F.lit(2.0), width))
 
-        lists = F.coalesce(F.count("*") * (entry("n") + entry("bit_len")), F.lit(0))
-        out = self.table.agg(F.lit(self.n).cast("long").alias("n"), tree.alias("tree_bits"), lists.cast("long").alias("list_bits"))
+        out = rows.agg(F.lit(self.n).cast("long").alias("n"), tree.cast("long").alias("tree_bits"), (entries("n") + entries("bit_len")).cast("long").alias("list_bits"))
         return out.withColumn("bits_per_key", (F.col("tree_bits") + F.col("list_bits")) / F.greatest(F.col("n"), F.lit(1)))
 
     def nodes(self) -> DataFrame:
@@ -132,39 +159,82 @@ class Model:
         return rows.mapInArrow(walk, "bucket long, pos long, depth long, size long, gap long, rice_k long")
 
     def to_bytes(self, most_buckets: int = 1_000_000) -> bytes:
-        """One bit string with a header, the buckets' sizes and their trees; for functions of a bounded number of buckets."""
-        if self.buckets > most_buckets or self.fallback is not None:
-            raise ValueError("too many buckets for one string, or overflown ones")
-        _, k, _ = self.options.rules()
+        """One string; for functions of a bounded number of buckets.
+
+        In Elias-delta codes: n + 1, the buckets, and the smallest steps + 1 of the two lists; a bit for overflown keys.
+        Then, each with its length before it: the lists of keys and of bits before each bucket, less their smallest
+        steps, the trees, and the second function.
+        """
+        from .other import sharded_bytes
+
+        if self.buckets > most_buckets:
+            raise ValueError("too many buckets for one string")
+        split, k, _ = self.options.rules()
+        rows = sorted(self.table.where("not alt").select("bucket", "n", "nodes").collect(), key=lambda r: r.bucket)  # bounded by most_buckets
+        sizes = np.zeros(self.buckets, np.int64)
+        bits = np.zeros(self.buckets, np.int64)
+        gaps, ks = [], []
+        for r in rows:
+            own = np.array([k[m] for m in preorder_sizes(r.n, self.options.leaf_size, split)], np.int64)
+            gap = np.array(r.nodes, np.int64)
+            sizes[r.bucket], bits[r.bucket] = r.n, int((gap >> own).sum() + (own + 1).sum())
+            gaps.append(gap), ks.append(own)
+        trees, _ = pack_rice(np.concatenate([np.zeros(0, np.int64), *gaps]), np.concatenate([np.zeros(0, np.int64), *ks]))
         out = BitBuffer()
         out.write_elias_delta(self.n + 1)
         out.write_elias_delta(self.buckets)
-        rows = {r.bucket: r for r in self.table.select("bucket", "n", "nodes").collect()}
-        split, _, _ = self.options.rules()
-        for b in range(self.buckets):
-            out.write_elias_delta((rows[b].n if b in rows else 0) + 1)
-        for b in sorted(rows):
-            for gap, size in zip(rows[b].nodes, preorder_sizes(rows[b].n, self.options.leaf_size, split)):
-                out.write_rice(int(k[size]), gap)
-        return out.to_bytes()
+        out.write_bit(self.fallback is not None)
+        steps = [int(x.min(initial=0) if not len(x) else x.min()) for x in (sizes, bits)]
+        for step in steps:
+            out.write_elias_delta(step + 1)
+        parts = [monotone_list(np.concatenate([[0], np.cumsum(x - step)]), self.options.lists == "elias_fano").to_bytes() for x, step in zip((sizes, bits), steps)]
+        parts += [trees] + ([sharded_bytes(self.fallback)] if self.fallback is not None else [])
+        return out.to_bytes() + b"".join(len(x).to_bytes(8, "big") + x for x in parts)
 
     @classmethod
     def from_bytes(cls, spark, data: bytes, options: Options) -> Model:
+        from .other import sharded_from_bytes
+
+        header, lists, trees, fallback = read_string(data, options)
         split, k, _ = options.rules()
-        buffer = BitBuffer(data)
-        n, buckets = buffer.read_elias_delta() - 1, buffer.read_elias_delta()
-        sizes = [buffer.read_elias_delta() - 1 for _ in range(buckets)]
-        rows, offset = [], 0
-        for b, size in enumerate(sizes):
-            if size:
-                start = buffer.pos
-                nodes = [buffer.read_rice(int(k[m])) for m in preorder_sizes(size, options.leaf_size, split)]
-                rows.append((b, size, nodes, buffer.pos - start, False, offset))
-            offset += size
-        return cls(spark.createDataFrame(rows, _MODEL + ", offset long"), options, n, buckets)
+        before, starts = lists
+        sizes = np.diff(before)
+        at = np.flatnonzero(sizes)
+        preorder = [preorder_sizes(int(m), options.leaf_size, split) for m in sizes[at]]
+        found = unpack_rice(trees, [np.array([k[m] for m in own], np.int64) for own in preorder], starts[at])
+        rows = [(int(b), int(sizes[b]), gaps.tolist(), int(starts[b + 1] - starts[b]), False, int(before[b])) for b, gaps in zip(at, found)]
+        if fallback is not None:
+            # buckets without keys in the trees overflowed, or have none: the second function is asked
+            rows += [(int(b), 0, None, 0, True, int(before[b])) for b in np.flatnonzero(sizes == 0)]
+        model = cls.of(spark.createDataFrame(rows, _STORED), options, header["n"], header["buckets"])
+        if fallback is not None:
+            model.fallback, model.fallback_offset = sharded_from_bytes(spark, fallback), int(before[-1])
+        return model
+
+
+def read_string(data: bytes, options: Options):
+    """The header's fields, the two lists, the trees' bits and the second function's bytes (or None) of the one-string form."""
+    buffer = BitBuffer(data)
+    header = {"n": buffer.read_elias_delta() - 1, "buckets": buffer.read_elias_delta(), "fallback": bool(buffer.read_bit()), "key_step": buffer.read_elias_delta() - 1, "bit_step": buffer.read_elias_delta() - 1}
+    at, parts = -(-buffer.pos // 8), []
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "big")
+        parts.append(data[at + 8 : at + 8 + size])
+        at += 8 + size
+    kind = EliasFanoList if options.lists == "elias_fano" else MultiStageList
+    steps = np.arange(header["buckets"] + 1)
+    lists = [kind.from_bytes(x).all() + steps * step for x, step in zip(parts, (header["key_step"], header["bit_step"]))]
+    return header, lists, parts[2], parts[3] if header["fallback"] else None
+
+
+def describe_bytes(data: bytes, options: Options) -> dict:
+    """The one-string form's header and what its parts take: for looking at."""
+    header, lists, trees, fallback = read_string(data, options)
+    return header | {"keys_in_trees": int(lists[0][-1]), "tree_bits": int(lists[1][-1]), "bytes": len(data), "tree_bytes": len(trees), "fallback_bytes": len(fallback or b"")}
 
 
 _MODEL = "bucket long, n int, nodes array<long>, bit_len long, alt boolean"
+_STORED = _MODEL + ", offset long"
 
 
 def preorder_sizes(size: int, leaf_size: int, split) -> list[int]:
@@ -300,6 +370,8 @@ def build(keys: DataFrame, key: str, options: Options | None = None, partitions:
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
             column = chunk.column("key")
+            if column.null_count:
+                raise ValueError("a key is null")
             values = column.to_numpy(zero_copy_only=False)
             if len(values) > 1 and (values[1:] == values[:-1]).any():
                 raise ValueError("keys repeat")
@@ -317,10 +389,10 @@ def build(keys: DataFrame, key: str, options: Options | None = None, partitions:
 
     dealt = (rows.repartition(partitions, "bucket") if partitions else rows.repartition("bucket")).sortWithinPartitions("bucket", "h", "key")
     table = as_table(dealt.mapInArrow(run, _MODEL), "buckets")
-    placed = as_table(prefix_sum(table.withColumn("own", F.when(F.col("alt"), 0).otherwise(F.col("n")).cast("long")), "bucket", "own", "offset").drop("own"), "model")
-    model = Model(placed, options, n, buckets)
-    over = placed.where("alt")
-    if not over.isEmpty():
+    placed = prefix_sum(table.withColumn("own", F.when(F.col("alt"), 0).otherwise(F.col("n")).cast("long")), "bucket", "own", "offset").drop("own")
+    model = Model.of(placed.select("bucket", "n", "nodes", "bit_len", "alt", F.col("offset").cast("long")), options, n, buckets)
+    over = model.table.where("alt")
+    if options.mode != "fast" and not over.isEmpty():
         from .other import build_bdz
 
         left = as_table(rows.join(over.select("bucket"), "bucket", "left_semi").select("key"), "overflow")
@@ -329,6 +401,46 @@ def build(keys: DataFrame, key: str, options: Options | None = None, partitions:
     return model
 
 
+@dataclass
+class BlockStore:
+    """A fast function of a very large set, stored by blocks of its keys' top bits: ``path`` has a folder for each block, and a header.
+
+    The header has a row for each block (block, n, tree_bits) and one without a block for all of them.
+    """
+
+    model: Model
+    path: str
+    blocks: int
+
+    def header(self) -> DataFrame:
+        return self.model.table.sparkSession.read.parquet(f"{self.path}/header")
+
+    def block(self, number: int) -> Model:
+        """The function of one block, from its files alone: it gives its keys the same indexes, and needs no other block."""
+        spark, o = self.model.table.sparkSession, self.model
+        rows = spark.read.schema(_STORED).parquet(f"{self.path}/blocks/block={number}")
+        return Model.of(rows, o.options, o.n, o.buckets)
+
+
+def build_blocks(keys: DataFrame, key: str, per_block: int = 2_000_000, options: Options | None = None) -> BlockStore:
+    """Well-mixed 64-bit keys in blocks by their top bits, of about ``per_block`` keys: every block's buckets are searched and stored by themselves.
+
+    A bucket lies in one block, as both are top bits; so tasks hold a bucket at a time, whatever a block's size, and the
+    prefix sums over blocks and buckets are one.
+    """
+    options = options or Options(mode="fast", leaf_size=5, average_bucket_size=16)
+    if options.mode != "fast":
+        raise ValueError("blocks are built in the fast mode")
+    model = build(keys, key, options)
+    bucket_bits = model.buckets.bit_length() - 1
+    bits = min(bucket_bits, max(0, (-(-model.n // per_block) - 1).bit_length()))
+    path = shared_dir(keys.sparkSession, "blocks")
+    rows = model.table.withColumn("block", F.shiftright("bucket", bucket_bits - bits))
+    rows.repartition("block").sortWithinPartitions("block", "bucket").write.option("compression", "zstd").partitionBy("block").parquet(f"{path}/blocks")
+    rows.rollup("block").agg(F.sum("n").alias("n"), F.sum("bit_len").alias("tree_bits")).coalesce(1).write.parquet(f"{path}/header")
+    return BlockStore(model, path, 1 << bits)
+
+
 SIMPLE = Options("string", leaf_size=8, average_bucket_size=100)
 """The plain variant for strings: buckets of 100 keys, leaves of 8, descriptions as arrays."""
 
@@ -342,30 +454,60 @@ def description(model: Model) -> DataFrame:
 def compressed(model: Model) -> DataFrame:
     """bucket, n and its nodes as packed Golomb-Rice codes."""
     options = model.options
-    from ..functions.codes import pack_rice
 
     def run(batches):
         split, k, _ = options.rules()
         for batch in batches:
-            data = [pack_rice(r["nodes"], [int(k[m]) for m in preorder_sizes(r["n"], options.leaf_size, split)])[0] for r in batch.to_pylist()]
+            data = [pack_rice(np.array(r["nodes"], np.int64), np.array([k[m] for m in preorder_sizes(r["n"], options.leaf_size, split)], np.int64))[0] for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("n"), pa.array(data, pa.binary())], ["bucket", "n", "bits"])
 
     return model.table.where("not alt").select("bucket", "n", "nodes").mapInArrow(run, "bucket long, n int, bits binary")
 
 
 def expanded(packed: DataFrame, options: Options) -> DataFrame:
-    """bucket, n and nodes back from ``compressed``."""
-    from ..functions.codes import unpack_rice
+    """bucket, n and nodes back from ``compressed``; the buckets of a batch are read side by side."""
 
     def run(batches):
         split, k, _ = options.rules()
         for batch in batches:
-            nodes = [unpack_rice(r["bits"], [int(k[m]) for m in preorder_sizes(r["n"], options.leaf_size, split)]) for r in batch.to_pylist()]
+            sizes, data = batch.column("n").to_pylist(), batch.column("bits").to_pylist()
+            starts = 8 * np.cumsum([0, *map(len, data)])[:-1]
+            nodes = unpack_rice(b"".join(data), [np.array([k[m] for m in preorder_sizes(n, options.leaf_size, split)], np.int64) for n in sizes], starts)
             yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("n"), pa.array(nodes, pa.list_(pa.int64()))], ["bucket", "n", "nodes"])
 
     return packed.mapInArrow(run, "bucket long, n int, nodes array<long>")
 
 
+def listed(model: Model, per_row: int = 1024) -> DataFrame:
+    """The plain description as coded lists: for each stretch of ``per_row`` buckets the keys and the nodes before each, and the nodes' running sum, as Elias-Fano lists."""
+
+    def run(batches):
+        for chunk in whole_buckets(batches, 1):
+            group = chunk.column("bucket").to_numpy()
+            for g in np.unique(group).tolist():
+                own = chunk.filter(pa.array(group == g))
+                nodes = own.column("nodes")
+                lists = (own.column("first_key").to_numpy(), own.column("first_node").to_numpy(), np.cumsum(nodes.flatten().to_numpy()))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), own.column("id").slice(0, 1), pa.array([own.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(nodes.offsets.to_numpy()).tolist()], pa.list_(pa.int64())), *(pa.array([EliasFanoList(x).to_bytes()], pa.binary()) for x in lists)], ["stretch", "first", "buckets", "counts", "keys", "starts", "nodes"])
+
+    rows = description(model).where("nodes is not null").select(F.floor(F.col("bucket") / per_row).alias("bucket"), F.col("bucket").alias("id"), "first_key", "first_node", "nodes")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "stretch long, first long, buckets array<long>, counts array<long>, keys binary, starts binary, nodes binary")
+
+
+def unlisted(rows: DataFrame) -> DataFrame:
+    """bucket, first_key, first_node and nodes back from ``listed``."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, starts, sums = (EliasFanoList.from_bytes(r[c]).all() for c in ("keys", "starts", "nodes"))
+                ends = np.cumsum(r["counts"])
+                nodes = np.split(np.diff(sums, prepend=0), ends[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(r["buckets"], pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array([x.tolist() for x in nodes], pa.list_(pa.int64()))], ["bucket", "first_key", "first_node", "nodes"])
+
+    return rows.mapInArrow(run, "bucket long, first_key long, first_node long, nodes array<long>")
+
+
 def whole_buckets(batches, rows: int = CHUNK):
     """Arrow batches in chunks of about ``rows`` rows that never cut a bucket; buckets follow each other."""
     held = None
@@ -409,54 +551,107 @@ def walk(options: Options, keys, hashes: np.ndarray, sizes: np.ndarray, values:
     return add
 
 
+class Part:
+    """Buckets of one file of a function, with their nodes in one array."""
+
+    def __init__(self, folder: str, part: int):
+        tables = [f.read(["bucket", "n", "nodes", "alt", "offset"]) for f in part_files(f"{folder}/part={part}")]
+        rows = pa.concat_tables(tables).combine_chunks().sort_by("bucket") if tables else None
+        column = lambda name: rows.column(name).combine_chunks()
+        self.bucket, self.n, self.offset = (column(c).to_numpy() if rows else np.zeros(0, np.int64) for c in ("bucket", "n", "offset"))
+        self.alt = column("alt").to_numpy(zero_copy_only=False) if rows else np.zeros(0, bool)
+        lists = column("nodes").fill_null([]) if rows else pa.array([[]], pa.list_(pa.int64()))
+        self.begins, self.values = lists.offsets.to_numpy()[:-1].astype(np.int64), lists.values.to_numpy()
+
+
+@functools.lru_cache(maxsize=FEW_PARTS + 16)
+def _part(folder: str, part: int) -> Part:
+    return Part(folder, part)
+
+
+def np_bucket(options: Options, buckets: int, h: np.ndarray) -> np.ndarray:
+    if options.mode == "fast":
+        bits = buckets.bit_length() - 1
+        return (h >> U(64 - bits) if bits else np.zeros(len(h), U)).astype(np.int64)
+    return H.np_reduce(h & U(0xFFFFFFFF), buckets).astype(np.int64)
+
+
+def place(folder: str, options: Options, buckets: int, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of keys that aren't null, and what they are: 0 an index, 1 no such bucket, 2 an overflown bucket."""
+    h = keys.to_numpy(zero_copy_only=False).astype(np.int64).view(U) if options.mode == "fast" else H.key_hashes(keys, 0, options.kind)
+    bucket = np_bucket(options, buckets, h)
+    out, state = np.zeros(len(h), np.int64), np.ones(len(h), np.int8)
+    order = np.argsort(bucket >> PART_SHIFT, kind="stable")
+    numbers = (bucket >> PART_SHIFT)[order]
+    for own in np.split(order, np.flatnonzero(np.diff(numbers)) + 1):
+        if not len(own):
+            continue
+        part = _part(folder, int(bucket[own[0]] >> PART_SHIFT))
+        if not len(part.bucket):
+            continue
+        i = np.minimum(np.searchsorted(part.bucket, bucket[own]), len(part.bucket) - 1)
+        there = part.bucket[i] == bucket[own]
+        own, i = own[there], i[there]
+        state[own] = np.where(part.alt[i], 2, 0)
+        own, i = own[~part.alt[i]], i[~part.alt[i]]
+        if len(own):
+            out[own] = part.offset[i] + walk(options, keys.take(pa.array(own)), h[own], part.n[i], part.values, part.begins[i])
+    return out, state
+
+
 def lookup(model: Model, df: DataFrame, key: str, out: str = "idx") -> DataFrame:
     """Adds the index of ``key``. Absent keys get an arbitrary index, or null where their bucket is empty; null keys get null.
 
-    The function is joined by bucket; Spark broadcasts it where it is small enough by its own size, else both sides are
-    dealt by bucket.
+    Rows stay where they are: tasks load the function's files that their keys need. Functions of very many files have
+    the rows dealt by file first, in partitions that Spark splits where a file is asked for very often. A column of ``df``
+    that is named like ``out`` is an error.
     """
-    options, buckets = model.options, model.buckets
+    if out in df.columns:
+        raise ValueError(f"there is a column {out} already")
+    options, buckets, folder = model.options, model.buckets, model.path
     kind = "long" if options.kind == "long" else "string"
-    names = df.columns
     rows = df.withColumn("__key", F.col(key).cast(kind))
-    if options.mode == "fast":
-        rows = rows.withColumn("h", F.col("__key"))
-    else:
-        rows = rows.withColumn("h", universal_hash(F.col("__key"), options.kind))
-    rows = with_bucket(rows, options, buckets).withColumnsRenamed({"bucket": "__bucket", "h": "__h"})
-    table = model.table.select(F.col("bucket").alias("__bucket"), F.col("n").alias("__n"), F.col("nodes").alias("__nodes"), F.col("alt").alias("__alt"), F.col("offset").alias("__offset"))
-    joined = rows.join(table, "__bucket", "left")
-
-    def place(key_, h, n, nodes, offset):
-        known = np.flatnonzero(np.array(n.is_valid()) & np.array(nodes.is_valid()) & np.array(key_.is_valid()))
-        out_ = np.zeros(len(n), np.int64)
-        if len(known):
-            take = pa.array(known)
-            lists = nodes.take(take)
-            begins = lists.offsets.to_numpy()[:-1]
-            add = walk(options, key_.take(take), h.take(take).to_numpy().view(U), n.take(take).to_numpy(), lists.values.to_numpy(), begins)
-            out_[known] = offset.take(take).to_numpy() + add
-        mask = np.ones(len(n), bool)
-        mask[known] = False
-        return pa.array(out_, pa.int64(), mask=mask)
-
-    place.__annotations__ = dict.fromkeys(("key_", "h", "n", "nodes", "offset", "return"), pa.Array)
-    found = joined.withColumn(out, F.arrow_udf(place, "long")("__key", "__h", "__n", "__nodes", "__offset"))
-    if model.fallback is not None:
-        from .other import lookup_bdz
-
-        over = lookup_bdz(model.fallback, found.where("__alt").drop(out), "__key", out).withColumn(out, F.col(out) + model.fallback_offset)
-        found = found.where("__alt is null or not __alt").select(*names, out).unionByName(over.select(*names, out))
-    return found.select(*names, out)
+    if buckets >> PART_SHIFT > FEW_PARTS and not df.isStreaming:
+
+        def part_of(keys: pa.Array) -> pa.Array:
+            known = keys.drop_null()
+            h = known.to_numpy().view(U) if options.mode == "fast" else H.key_hashes(known, 0, options.kind)
+            return scattered(np_bucket(options, buckets, h) >> PART_SHIFT, keys)
+
+        part_of.__annotations__ = {"keys": pa.Array, "return": pa.Array}
+        rows = rows.withColumn("__part", F.arrow_udf(part_of, "long")("__key")).hint("rebalance", "__part")
+
+    def run(keys: pa.Array) -> pa.Array:
+        index, state = place(folder, options, buckets, keys.drop_null())
+        return scattered(np.where(state == 0, index, np.where(state == 1, -1, -2)), keys)
+
+    run.__annotations__ = {"keys": pa.Array, "return": pa.Array}
+    found = rows.withColumn("__found", F.arrow_udf(run, "long")("__key"))
+    if model.fallback is None:
+        return found.select(*df.columns, F.when(F.col("__found") >= 0, F.col("__found")).alias(out))
+    from .other import lookup_bdz
+
+    # keys of other buckets are not asked for
+    found = found.withColumn("__over", F.when(F.col("__found") == -2, F.col("__key")))
+    found = lookup_bdz(model.fallback, found, "__over", "__second")
+    return found.select(*df.columns, F.when(F.col("__found") >= 0, F.col("__found")).when(F.col("__found") == -2, F.col("__second") + model.fallback_offset).alias(out))
+
+
+def scattered(values: np.ndarray, keys: pa.Array) -> pa.Array:
+    """Values of the keys that aren't null, at their places."""
+    if not keys.null_count:
+        return pa.array(values, pa.int64())
+    valid = np.array(keys.is_valid())
+    full = np.zeros(len(keys), np.int64)
+    full[valid] = values
+    return pa.array(full, pa.int64(), mask=~valid)
 
 
 def universal_hash(column, kind: str):
     """Universal hash number 0 as a column; null for null."""
 
     def run(c):
-        known = c.drop_null()
-        values = iter(H.key_hashes(known, 0, kind).view(np.int64).tolist())
-        return pa.array([next(values) if v else None for v in c.is_valid().to_pylist()], pa.int64())
+        return scattered(H.key_hashes(c.drop_null(), 0, kind).view(np.int64), c)
 
     run.__annotations__ = {"c": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "long")(column)

@@ -6,7 +6,7 @@ import functools
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import codes, succinct
@@ -18,10 +18,10 @@ from .plans.tables import as_table, shared_dir
 from .sources import keys as K
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+SQL: dict = {}  # strings, or functions that make them
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql=None, name: str | None = None):
     def add(f):
         QUERIES[name or f.__name__] = f
         if sql:
@@ -113,7 +113,7 @@ def mphf_save_load_equal(spark, d):
     model.save(path)
     loaded = R.Model.load(spark, path, model.options)
     both = R.lookup(loaded, R.lookup(model, orders, "o_orderkey", "a"), "o_orderkey", "b")
-    return both.agg(F.count("*").alias("n"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("differences"))
+    return both.agg(F.count("*").alias("n"), F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("long")).alias("differences"))
 
 
 @query("select count(*) as n, 0::bigint as differences from customer")
@@ -122,13 +122,59 @@ def mphf_bytes_round_trip(spark, d):
     model = R.build(rows, "c_custkey")
     again = R.Model.from_bytes(spark, model.to_bytes(), model.options)
     both = R.lookup(again, R.lookup(model, rows, "c_custkey", "a"), "c_custkey", "b")
-    return both.agg(F.count("*").alias("n"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("differences"))
+    return both.agg(F.count("*").alias("n"), F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("long")).alias("differences"))
 
 
-@query("select count(*) as n, true as above_bound, true as below_four from orders")
+@query("select count(*) as n, true as above_bound, true as below_four, true as as_stored from orders")
 def mphf_space_report(spark, d):
+    """The figures against theory, and against the string that a function is stored as, which has headers and one more list of 32-bit steps."""
     _, model = _orders_model(spark, d)
-    return model.space().select("n", (F.col("bits_per_key") > 1.44).alias("above_bound"), (F.col("bits_per_key") < 4).alias("below_four"))
+    stored = 8 * len(model.to_bytes())
+    bits = F.col("bits_per_key")
+    return model.space().select("n", (bits > 1.44).alias("above_bound"), (bits < 4).alias("below_four"), (F.abs(F.col("tree_bits") + F.col("list_bits") - stored) < 0.03 * stored + 4000).alias("as_stored"))
+
+
+@query("select count(*) as n, true as some_over, 0::bigint as differences from orders")
+def hybrid_save_load_equal(spark, d):
+    """A function with overflown buckets, saved as files and as one string, and loaded again."""
+    orders, model = _orders_model(spark, d, overflow=1, average_bucket_size=100)
+    path = shared_dir(spark, "saved")
+    model.save(path)
+    rows = R.lookup(model, orders, "o_orderkey", "a")
+    for out, again in (("b", R.Model.load(spark, path, model.options)), ("c", R.Model.from_bytes(spark, model.to_bytes(), model.options))):
+        rows = R.lookup(again, rows, "o_orderkey", out)
+    return rows.agg(F.count("*").alias("n"), F.lit(model.fallback is not None).alias("some_over"), F.sum((~F.col("a").eqNullSafe(F.col("b")) | ~F.col("a").eqNullSafe(F.col("c"))).cast("long")).alias("differences"))
+
+
+@query("select count(*) as n, count(*) as distinct_idx, 0::bigint as min_idx, count(*) - 1 as max_idx, 8::bigint as blocks, true as same_in_block from orders")
+def block_build_bijection(spark, d):
+    """Signatures built and stored by block, and a block looked up from its own files alone."""
+    rows = as_table(H.with_wrapped(_t(spark, d, "orders").select("o_orderkey"), k=H.mix64(F.col("o_orderkey"))), "mixed")
+    n = rows.count()
+    store = R.build_blocks(rows, "k", max(1, -(-n // 8)))
+    found = as_table(R.lookup(store.model, rows, "k"), "found")
+    own = R.lookup(store.block(3), rows.where(F.shiftrightunsigned("k", 61) == 3), "k", "own").join(found.select("o_orderkey", "idx"), "o_orderkey")
+    same = own.agg(F.min(F.col("own") == F.col("idx"))).first()[0]
+    return R.check(found).select("*", F.lit(store.blocks).cast("long").alias("blocks"), F.lit(same).alias("same_in_block"))
+
+
+@query("select count(*) as buckets, 0::bigint as differences from range((select ceil(count(*) / 100.0) from orders)::bigint)")
+def mphf_list_round_trip(spark, d):
+    """Plain descriptions as Elias-Fano lists and back."""
+    _, model = _orders_model(spark, d)
+    back = R.unlisted(R.listed(model)).select("bucket", F.col("first_key").alias("k"), F.col("first_node").alias("f"), F.col("nodes").alias("back"))
+    both = R.description(model).join(back, "bucket")
+    return both.agg(F.count("*").alias("buckets"), F.sum(((F.col("nodes") != F.col("back")) | (F.col("first_key") != F.col("k")) | (F.col("first_node") != F.col("f"))).cast("long")).alias("differences"))
+
+
+@query("select count(*) as keys, true as sizes_add_up from orders")
+def mphf_tree_roots(spark, d):
+    """Roots hold all keys but those alone in their bucket, and a node's parts have its size."""
+    _, model = _orders_model(spark, d)
+    nodes = model.nodes().where("pos = 0").agg(F.sum("size").alias("s"))
+    alone = model.table.where("n = 1").count()
+    depth = model.nodes().where("depth = 1").groupBy("bucket").agg(F.sum("size").alias("parts")).join(model.table.select("bucket", "n"), "bucket").agg(F.coalesce(F.min(F.col("parts") <= F.col("n")), F.lit(True))).first()[0]
+    return nodes.select((F.col("s") + alone).alias("keys"), F.lit(depth).alias("sizes_add_up"))
 
 
 @query("select count(*) as buckets, 0::bigint as differences from range((select ceil(count(*) / 100.0) from orders)::bigint)")
@@ -158,15 +204,22 @@ def fast_mphf_bijection(spark, d):
     return R.check(R.lookup(model, rows, "k"))
 
 
-@query("select true as monotone")
+def _monotone_sql() -> str:
+    u = f"(select {sql_mix64('o_orderkey::uhugeint')} as u from orders)"
+    bits = "(select ceil(log2(ceil(count(*) / 16.0)))::int from orders)"
+    return f"select count(*) as n, count(distinct u // pow(2, 64 - {bits})::uhugeint) as used_buckets, true as monotone from {u}"
+
+
+@query(_monotone_sql())
 def fast_bucket_monotone(spark, d):
+    """A bucket's indexes begin behind all keys of the buckets before it: prefix sums by blocks, no window spans the table."""
     rows = as_table(H.with_wrapped(_t(spark, d, "orders").select("o_orderkey"), k=H.mix64(F.col("o_orderkey"))), "mixed")
-    options = R.Options(mode="fast", leaf_size=5, average_bucket_size=16)
-    model = R.build(rows, "k", options)
-    ranges = R.lookup(model, rows, "k").withColumn("b", F.shiftrightunsigned("k", 64 - model.buckets.bit_length() + 1)).groupBy("b").agg(F.min("idx").alias("low"), F.max("idx").alias("high"))
-    # a row for each bucket
-    ordered = ranges.withColumn("next_low", F.lead("low").over(Window.orderBy("b")))
-    return ordered.agg(F.coalesce(F.min(F.col("next_low").isNull() | (F.col("next_low") > F.col("high"))), F.lit(True)).alias("monotone"))
+    model = R.build(rows, "k", R.Options(mode="fast", leaf_size=5, average_bucket_size=16))
+    bits = model.buckets.bit_length() - 1
+    ranges = R.lookup(model, rows, "k").withColumn("b", F.shiftrightunsigned("k", 64 - bits) if bits else F.lit(0).cast("long")).groupBy("b").agg(F.min("idx").alias("low"), F.max("idx").alias("high"), F.count("*").alias("c"))
+    placed = succinct.prefix_sum(ranges, "b", "c", "before")
+    good = (F.col("low") == F.col("before")) & (F.col("high") == F.col("before") + F.col("c") - 1)
+    return placed.agg(F.sum("c").alias("n"), F.count("*").alias("used_buckets"), F.min(good).alias("monotone"))
 
 
 @query(ORDERS)
@@ -198,9 +251,9 @@ def chd_k_perfect(spark, d):
     return slots.agg(F.sum("c").alias("n"), (F.max("c") <= 4).alias("within_k"))
 
 
-@query("select level::int as level, placed from (" + other.bbhash_level_sql("o_orderkey", "orders", 2.0, 4) + ")")
+@query("select level::int as level, placed from (" + other.bbhash_level_sql("o_orderkey", "orders", 2.0) + ")")
 def bbhash_level_counts(spark, d):
-    """Keys placed on every level; the row without a level counts those left unplaced. The SQL has the first four levels only."""
+    """Keys placed on every level; the row without a level counts those left unplaced."""
     return other.bbhash_counts(other.bbhash_levels(_t(spark, d, "orders"), "o_orderkey", 2.0))
 
 
@@ -305,12 +358,12 @@ def bijection44(spark, d):
     return H.with_wrapped(_t(spark, d, "customer").select("c_custkey"), h=H.bijection(F.col("c_custkey"), 44))
 
 
-@query()
+@query("select " + ", ".join(f"count(distinct props) as {name}" for name in sorted(H.KERNELS)) + " from events")
 def hash_library(spark, d):
-    """Every byte-string hash of the events' properties, once as distinct counts."""
+    """Every byte-string hash of the events' properties, eight times over (one hash reads whole blocks only), as distinct counts: as many as there are distinct properties."""
     rows = _t(spark, d, "events").select("props")
     names = sorted(H.KERNELS)
-    hashed = rows.select(*(H.hash_bytes(n, F.col("props"), 42).alias(n) for n in names))
+    hashed = rows.select(*(H.hash_bytes(n, F.repeat("props", 8), 42).alias(n) for n in names))
     return hashed.agg(*(F.countDistinct(n).alias(n) for n in names))
 
 
@@ -321,20 +374,27 @@ def xxhash_seed42(spark, d):
 
 
 def _search_sql() -> str:
-    h = sql_mix64("(sql_k + i)::uhugeint").replace("sql_k", "k")
     keys = f"select n_regionkey, {sql_mix64('n_nationkey::uhugeint')} as k from nation"
-    slot = f"(({h} & 4294967295::uhugeint) * 5::uhugeint) >> 32"
-    return f"with k as ({keys}), t as (select n_regionkey, i, count(distinct {slot}) as c from (select n_regionkey, (k + i::uhugeint) % {WIDE} as s, i from k, range(400) r(i)) group by 1, 2) select n_regionkey, min(i)::bigint as idx from t where c = 5 group by 1".replace(h, sql_mix64("s"))
+    slot = lambda i: f"(({sql_mix64(f'((k + ({i})::uhugeint) % {WIDE})')} & 4294967295::uhugeint) * 5::uhugeint) >> 32"
+    return f"with recursive k as ({keys}), t as (select n_regionkey, 0::bigint as i, count(distinct {slot('0')}) as c from k group by 1 union all select n_regionkey, i + 1, count(distinct {slot('i + 1')}) from t join k using (n_regionkey) where c < 5 group by n_regionkey, i) select n_regionkey, i as idx from t where c = 5"
 
 
 @query(_search_sql())
 def leaf_bijection_search(spark, d):
-    """The smallest index that sends a region's five nations to distinct places: tried natively, over a fixed range of indexes."""
-    keys = H.with_wrapped(_t(spark, d, "nation").select("n_regionkey", "n_nationkey"), k=H.mix64(F.col("n_nationkey")))
-    tried = keys.withColumn("i", F.explode(F.expr("sequence(0L, 399L)")))
-    tried = H.with_wrapped(tried, slot=H.reduce_range(H.supplemental(F.col("k"), F.col("i")), 5))
-    good = tried.groupBy("n_regionkey", "i").agg(F.countDistinct("slot").alias("c")).where("c = 5")
-    return good.groupBy("n_regionkey").agg(F.min("i").alias("idx"))
+    """The smallest index that sends a region's five nations to distinct places: tried natively, range after range until every region has one."""
+    keys = as_table(H.with_wrapped(_t(spark, d, "nation").select("n_regionkey", "n_nationkey"), k=H.mix64(F.col("n_nationkey"))), "nations")
+    found, first, step = None, 0, 256
+    while not keys.isEmpty():
+        if first > 1 << 20:
+            raise ValueError("a region's nations have no bijection")
+        tried = keys.withColumn("i", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + step - 1).cast("long"))))
+        tried = H.with_wrapped(tried, slot=H.reduce_range(H.supplemental(F.col("k"), F.col("i")), 5))
+        good = tried.groupBy("n_regionkey", "i").agg(F.countDistinct("slot").alias("c")).where("c = 5")
+        here = as_table(good.groupBy("n_regionkey").agg(F.min("i").alias("idx")), "found")
+        found = here if found is None else found.unionByName(here)
+        keys = as_table(keys.join(here, "n_regionkey", "left_anti"), "nations")
+        first, step = first + step, 2 * step
+    return found if found is not None else spark.createDataFrame([], "n_regionkey long, idx long")
 
 
 # ---- C, L: rules and estimates ----
@@ -346,9 +406,96 @@ def split_rules_valid(spark, d):
     return spark.createDataFrame(rows, "leaf_size int, size int, valid boolean")
 
 
-@query()
+def _plain_rice(p: float) -> int:
+    """The smallest parameter whose upper part is at most the golden ratio's share away from a fair bit, by trying."""
+    k = 0
+    while (1 - p) ** 2.0**k > (5**0.5 - 1) / 2:
+        k += 1
+    return k
+
+
+def _plain_bits(p: float) -> float:
+    k = _plain_rice(p)
+    return k + 1 / -math.expm1(2.0**k * math.log1p(-min(p, 1 - 1e-15)))
+
+
+def _plain_p(n: int, parts: list[int]) -> float:
+    """n keys fall into parts of just these sizes, each with its share of the range."""
+    return math.exp(math.lgamma(n + 1) + sum(m * math.log(m / n) - math.lgamma(m + 1) for m in parts))
+
+
+def _plain_rules(leaf: int, most: int) -> dict[int, list[int]]:
+    """Parts of each size by the written rule: the fewest bits among all splits whose hash calls stay within twice a leaf's, or 16 a key."""
+    rules, bits, work = {}, [0.0, 0.0], [0.0, 0.0]
+    for n in range(2, most + 1):
+        if n <= leaf:
+            ways = [[1] * n]
+        else:
+            ways = [[m, n - m] for m in range(-(-n // 2), n)] + [[n // f] * f for f in range(3, 9) if n % f == 0 and n // f > 1]
+        found = [(_plain_bits(p := _plain_p(n, way)) + sum(bits[m] for m in way), n / p + sum(work[m] for m in way), way) for way in ways]
+        budget = 2 * max(work[leaf] / leaf, 8.0) * n if n > leaf else math.inf
+        b, w, way = min([x for x in found if x[1] <= budget] or [min(found, key=lambda x: x[1])], key=lambda x: x[0])
+        rules[n] = way
+        bits.append(b), work.append(w)
+    return rules
+
+
+def _plain_costs(leaf: int, rules: dict[int, list[int]]) -> tuple[list, list, list]:
+    bits, work, calls = [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]
+    for n, way in rules.items():
+        p, below = _plain_p(n, way), [] if n <= leaf else way
+        bits.append(_plain_bits(p) + sum(bits[m] for m in below))
+        work.append(n / p + sum(work[m] for m in below))
+        calls.append(1 + sum(m * calls[m] for m in below) / n)
+    return bits, work, calls
+
+
+def _split_rules_sql() -> str:
+    """Rows by the plain rule above, which shares no code with the planner."""
+    rows = ", ".join(f"({n}, {way[0]}, {len(way)}, {_plain_rice(_plain_p(n, way))})" for n, way in _plain_rules(8, 200).items())
+    return f"select size::int as size, first::int as first, parts::int as parts, rice_k::int as rice_k from (values {rows}) t(size, first, parts, rice_k)"
+
+
+@query(_split_rules_sql)
 def split_rules(spark, d):
-    return P.rule_frame(spark, 8, 400)
+    """Size of the first part and number of parts; two halves are named alike whichever rule they came from."""
+    rules, split = P.rule_frame(spark, 8, 200), F.col("split")
+    return rules.select("size", F.when(split > 0, F.floor(F.col("size") / split)).otherwise(-split).cast("int").alias("first"), F.when(split > 0, split).otherwise(2).alias("parts"), "rice_k")
+
+
+def _pareto_sql() -> str:
+    rows = []
+    for leaf in (5, 6, 8, 10):
+        bits, work, calls = _plain_costs(leaf, _plain_rules(leaf, 280))
+        for average in (20, 50):
+            p = [math.exp(n * math.log(average) - average - math.lgamma(n + 1)) for n in range(200 + average * 15 // 10 + 1)]
+            total = lambda x: sum(a * b for a, b in zip(p, x)) / average  # noqa: E731, B023
+            rows.append((leaf, average, total(bits) + (2 * math.log2(max(2.0, math.sqrt(average))) + 4) / average, total(work), total([n * c for n, c in enumerate(calls)]) + 1))
+    values = ", ".join(f"({a}, {b}, {x!r}::double, {y!r}::double, {z!r}::double)" for a, b, x, y, z in rows)
+    grid = f"(select leaf_size::int as leaf_size, average::int as average, round(bits, 4) as bits, round(build, 2) as build, round(evaluate, 4) as evaluate from (values {values}) t(leaf_size, average, bits, build, evaluate))"
+    return f"with g as {grid} select * from g where not exists (select 1 from g o where o.bits <= g.bits and o.build <= g.build and o.evaluate <= g.evaluate and (o.bits < g.bits or o.build < g.build or o.evaluate < g.evaluate))"
+
+
+def _strategies_sql() -> str:
+    ways = {"optimised": _plain_rules(8, 128), "halves": {n: [1] * n if n <= 8 else [-(-n // 2), n // 2] for n in range(2, 129)}, "legacy": {}}
+    for n in range(2, 129):
+        f = x = 8
+        while n > x:
+            f = max(2, int(1.5 + 0.35 * f))
+            x *= f
+        ways["legacy"][n] = [1] * n if n <= 8 else [n // f] * f if n == x else [x // f, n - x // f]
+    values = []
+    for name, rules in ways.items():
+        bits, work, calls = _plain_costs(8, rules)
+        values.append(f"('{name}', {bits[128] / 128!r}::double, {work[128] / 128!r}::double, {calls[128]!r}::double)")
+    return f"select strategy, round(bits, 4) as bits, round(build, 2) as build, round(evaluate, 4) as evaluate from (values {', '.join(values)}) t(strategy, bits, build, evaluate)"
+
+
+@query(_strategies_sql)
+def split_strategies(spark, d):
+    """What a bucket of 128 keys takes under the optimised, the plain and the older rule; the searches with several plans are in ``planner.strategies``."""
+    rows = P.strategies(spark).where("strategy in ('optimised', 'halves', 'legacy')")
+    return rows.select("strategy", F.round("bits", 4).alias("bits"), F.round("build", 2).alias("build"), F.round("evaluate", 4).alias("evaluate"))
 
 
 @query("select x::int as size, round(exp(x * ln(100) - 100 - lgamma(x + 1)), 9) as p from range(50, 151) r(x)")
@@ -372,9 +519,28 @@ def rice_parameter_table(spark, d):
     return rows.select("n", "k", F.round(codes.rice_mean_bits(F.col("k"), F.col("p")), 6).alias("bits"))
 
 
-@query()
+@query(_pareto_sql)
 def space_time_pareto(spark, d):
-    return P.pareto(P.grid(spark, (5, 6, 8, 10), (20, 50, 100, 200)), "bits", "build", "evaluate")
+    grid = P.grid(spark, (5, 6, 8, 10), (20, 50))
+    grid = grid.select("leaf_size", "average", F.round("bits", 4).alias("bits"), F.round("build", 2).alias("build"), F.round("evaluate", 4).alias("evaluate"))
+    return P.pareto(grid, "bits", "build", "evaluate")
+
+
+_PMF = "exp(x * ln(100) - 100 - lgamma(x + 1))"
+
+
+@query(f"select s::int as size, round((select sum({_PMF}) from range(s, 500) r(x)), 12) as tail, round(s * exp(s * ln(100) - 100 - lgamma(s + 1)) / 100, 12) as biased, round(exp(s - 100 - s * ln(s / 100.0)), 12) as bound from range(100, 201, 10) q(s)")
+def bucket_tail(spark, d):
+    """Probability of a bucket of a size or more, of a key in one of just that size, and the bound of the former."""
+    biased = P.size_biased(100, 200)
+    rows = spark.createDataFrame([(n, P.tail(100, n), float(biased[n])) for n in range(100, 201, 10)], "size int, tail double, biased double")
+    return rows.select("size", F.round("tail", 12).alias("tail"), F.round("biased", 12).alias("biased"), F.round(P.large_bucket_bound(F.lit(100.0), F.col("size").cast("double")), 12).alias("bound"))
+
+
+@query("select n::int as n, k::int as k, round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)))::bigint as ways, round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(k / n) + (n - k) * ln(1 - k / n)), 9) as p from range(2, 25) a(n), range(1, 24) b(k) where k < n")
+def uneven_split_probability(spark, d):
+    rows = [(n, k, round(P.binomial(n, k)), float(P.p_uneven(n, k))) for n in range(2, 25) for k in range(1, n)]
+    return spark.createDataFrame(rows, "n int, k int, ways long, p double").withColumn("p", F.round("p", 9))
 
 
 @query("select n, min(b)::int as bits from (select n::bigint as n, b from (values (1000000), (1000000000), (1000000000000)) v(n), range(20, 128) r(b) where 1 - exp(-n::double * (n - 1) / 2 / pow(2.0, b)) < 0.01) group by 1")
@@ -383,14 +549,30 @@ def signature_bits_needed(spark, d):
     return rows.where(P.probability_of_duplicates(F.col("n").cast("double"), F.col("b")) < 0.01).groupBy("n").agg(F.min("b").alias("bits"))
 
 
-@query()
+def _sql_rice(p: str) -> str:
+    """Of small probabilities the logarithm's first terms, as 1 - p would lose digits."""
+    return f"greatest(0, 1 + floor(log2(ln({_GOLD!r}) / (case when {p} < 1e-4 then -{p} - {p} * {p} / 2 - {p} * {p} * {p} / 3 else ln(1 - {p}) end))))"
+
+
+_LEAF_P, _HALF_P = "exp(lgamma(n + 1) - n * ln(n))", "exp(lgamma(n + 1) - 2 * lgamma(n / 2 + 1) - n * ln(2))"
+
+
+@query(f"select n::int as size, {_sql_rice(_LEAF_P)}::int as leaf_k, case when n % 2 = 0 then {_sql_rice(_HALF_P)} end::int as half_k from range(2, 33) r(n)")
 def rice_leaf_table(spark, d):
     return P.rice_leaf_table(spark)
 
 
-@query()
+def _break_even_sql() -> str:
+    bits = lambda p: f"({_sql_rice(p)} + 1 / (1 - pow(1 - {p}, pow(2.0, {_sql_rice(p)}))))"
+    part = "exp(lgamma(m + 1) - m * ln(m))"
+    return f"select n::int as size, round({bits('pl')}, 6) as leaf_bits, round({bits('ph')} + 2 * {bits('pm')}, 6) as split_bits, round(n / pl, 2) as leaf_calls, round(n / ph + n / pm, 2) as split_calls from (select n, {_LEAF_P} as pl, {_HALF_P} as ph, {part} as pm from (select n, n / 2 as m from range(4, 17, 2) r(n)))"
+
+
+@query(_break_even_sql())
 def leaf_break_even(spark, d):
-    return P.break_even(spark)
+    """Leaves and halved leaves up to 16 keys; larger ones are in ``planner.break_even``."""
+    rows = P.break_even(spark, 16)
+    return rows.select("size", *(F.round(c, 6).alias(c) for c in ("leaf_bits", "split_bits")), *(F.round(c, 2).alias(c) for c in ("leaf_calls", "split_calls")))
 
 
 @query("select 2000000000::bigint as n, 15::bigint as segments, 133333334::bigint as keys_each")
@@ -398,9 +580,24 @@ def segment_plan(spark, d):
     return P.segments_plan(spark, 2 * 10**9, 1 << 30).select("n", "segments", "keys_each")
 
 
-@query()
+def _plan_sql() -> str:
+    base = "select n::bigint as n, ceil(2 * log2(n::double))::int as signature_bits from (values (1000000), (2000000000), (1000000000000)) v(n)"
+    more = f"select *, n::double * ceil(signature_bits / 8) as signature_bytes from ({base})"
+    more = f"select *, ceil(signature_bytes / 8589934592)::bigint as chunks, n::double * 64 / 2e8 as scan_seconds, n::double * 3000 / 1e9 / 8 as build_seconds, n * 1.8::double as bits from ({more})"
+    more = f"select *, signature_bytes * chunks / 2e8 as chunk_seconds, signature_bytes * 4 / 2e8 as stripe_seconds from ({more})"
+    return f"select n, signature_bits, chunks, round(scan_seconds, 3) as scan_seconds, round(chunk_seconds, 3) as chunk_seconds, round(stripe_seconds, 3) as stripe_seconds, round(build_seconds, 3) as build_seconds from ({more})"
+
+
+@query(_plan_sql())
 def huge_set_plan(spark, d):
-    return P.huge_set_plan(spark, [10**6, 2 * 10**9, 10**12])
+    rows = P.huge_set_plan(spark, [10**6, 2 * 10**9, 10**12])
+    return rows.select("n", "signature_bits", "chunks", *(F.round(c, 3).alias(c) for c in ("scan_seconds", "chunk_seconds", "stripe_seconds", "build_seconds")))
+
+
+@query("select b::bigint as bits, printf('%.1f ', b / 8.0 / pow(1024.0, s)) || (['B', 'KB', 'MB', 'GB', 'TB'])[s + 1] as text from (select b, least(4, floor(log2(greatest(b / 8.0, 1.0)) / 10))::int as s from (values (8), (9000), (123456789), (99999999999), (1234567890123456)) t(b))")
+def format_bits(spark, d):
+    rows = spark.createDataFrame([(b,) for b in (8, 9000, 123456789, 99999999999, 1234567890123456)], "bits long")
+    return rows.select("bits", P.format_bits(F.col("bits")).alias("text"))
 
 
 @query("select s::bigint as s, (s // 3600) || ':' || lpad((s % 3600 // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') as text from range(0, 100000, 1777) r(s)")
@@ -408,14 +605,35 @@ def format_seconds(spark, d):
     return spark.range(0, 100000, 1777).select(F.col("id").alias("s"), P.format_seconds(F.col("id")).alias("text"))
 
 
-@query()
+_GENERATED = f"(select {sql_mix64('i::uhugeint')} as k from range(100000) r(i))"
+
+
+@query(f"select size, count(*) / 1000.0::double as measured, round(any_value(exp(size * ln(100) - 100 - lgamma(size + 1))), 9) as p from (select count(*) as size from {_GENERATED} group by (k & 4294967295::uhugeint) * 1000::uhugeint >> 32) group by size")
 def bucket_size_simulation(spark, d):
     """Sizes of buckets by generated keys beside the model's probability."""
-    keys = K.generated(spark, 100_000)
-    sizes = keys.groupBy(H.reduce_range(F.col("key"), 1000).alias("b")).agg(F.count("*").alias("size"))
+    sizes = K.generated(spark, 100_000).groupBy(H.reduce_range(F.col("key"), 1000).alias("b")).agg(F.count("*").alias("size"))
     p = P.poisson(100, 200)
     model = spark.createDataFrame([(n, float(p[n])) for n in range(201)], "size long, p double")
-    return sizes.groupBy("size").agg((F.count("*") / 1000).alias("measured")).join(model, "size")
+    return sizes.groupBy("size").agg((F.count("*") / 1000).alias("measured")).join(model, "size").withColumn("p", F.round("p", 9))
+
+
+@query(f"select first::int as first, avg((below = first)::int) as measured, round(any_value(exp(lgamma(11) - lgamma(first + 1) - lgamma(11 - first) + first * ln(first / 10) + (10 - first) * ln(1 - first / 10))), 9) as p from (select g, count(*) filter (where s < first) as below, first from (select i // 10 as g, {sql_mix64('i::uhugeint')} & 4294967295::uhugeint as low, ({sql_mix64('i::uhugeint')} & 4294967295::uhugeint) * 10::uhugeint >> 32 as s from range(100000) r(i)), range(1, 10) f(first) group by g, first) group by first")
+def split_simulation(spark, d):
+    """Of 10,000 groups of ten generated keys, the share that a split with each first part fits, beside its probability."""
+    slots = H.with_wrapped(spark.range(100_000), s=H.reduce_range(H.mix64(F.col("id")), 10)).select(F.floor(F.col("id") / 10).alias("g"), "s")
+    tried = slots.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(9))))
+    fits = tried.groupBy("g", "first").agg(F.count_if(F.col("s") < F.col("first")).alias("below"))
+    p = spark.createDataFrame([(m, float(P.p_uneven(10, m))) for m in range(1, 10)], "first int, p double")
+    return fits.groupBy("first").agg(F.avg((F.col("below") == F.col("first")).cast("int")).alias("measured")).join(p, "first").withColumn("p", F.round("p", 9))
+
+
+@query(f"select s::int as size, (select avg((c >= s)::int) from (select count(*) as c from {_GENERATED} group by (k & 4294967295::uhugeint) * 1000::uhugeint >> 32)) as measured, round((select sum({_PMF}) from range(s, 500) r(x)), 9) as p from range(100, 141, 10) q(s)")
+def overflow_simulation(spark, d):
+    """Share of 1,000 buckets of generated keys that hold a size or more, beside the tail's probability."""
+    sizes = K.generated(spark, 100_000).groupBy(H.reduce_range(F.col("key"), 1000).alias("b")).agg(F.count("*").alias("c"))
+    tried = sizes.withColumn("size", F.explode(F.array(*(F.lit(x) for x in range(100, 141, 10)))))
+    p = spark.createDataFrame([(n, P.tail(100, n)) for n in range(100, 141, 10)], "size int, p double")
+    return tried.groupBy("size").agg(F.avg((F.col("c") >= F.col("size")).cast("int")).alias("measured")).join(p, "size").withColumn("p", F.round("p", 9))
 
 
 # ---- F: codes ----
@@ -530,12 +748,23 @@ def documents_dedupe(spark, d):
 
 @query("select c_name, row_number() over (order by strlen(c_name), c_name)::int as position from customer")
 def length_first_order(spark, d):
-    """Positions within lengths, and the counts of shorter ones before them: no window spans the table."""
-    rows = _t(spark, d, "customer").select("c_name", F.octet_length("c_name").alias("len"))
-    sizes = rows.groupBy("len").agg(F.count("*").alias("c"))
-    before = sizes.select("len", F.coalesce(F.sum("c").over(Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("len").orderBy(F.col("c_name").cast("binary"))))
-    return own.join(before, "len").select("c_name", (F.col("own") + F.col("before")).cast("int").alias("position"))
+    """Rows dealt by ranges of the order, numbered within each; the ranges' sizes are summed over a row for each: no window spans the table."""
+    names = _t(spark, d, "customer").select("c_name").withColumns({"len": F.octet_length("c_name"), "raw": F.col("c_name").cast("binary")})
+    rows = names.repartitionByRange("len", "raw").sortWithinPartitions("len", "raw").withColumn("r", F.monotonically_increasing_id())
+    rows = as_table(rows.select("c_name", F.shiftright("r", 33).alias("range"), F.col("r").bitwiseAND(F.lit((1 << 33) - 1)).alias("own")), "ordered")
+    before = succinct.prefix_sum(rows.groupBy("range").agg(F.count("*").alias("c")), "range", "c", "before").select("range", "before")
+    return rows.join(before, "range").select("c_name", (F.col("own") + F.col("before") + 1).cast("int").alias("position"))
+
+
+@query("select count(*) as n, count(*) as distinct_keys, count(*) as distinct_pairs, count(*) - 1 as max_idx from (select distinct t from (select unnest(regexp_split_to_array(html, '\\s+')) as t from pages) where t <> '')")
+def signature_mode(spark, d):
+    """Tokens to 64-bit signatures to a function over them, and 128-bit ones that tell values apart."""
+    tokens = as_table(K.tokens(_t(spark, d, "pages"), "html").distinct(), "tokens")
+    keys = as_table(K.signatures(tokens, "key"), "signatures")
+    model = R.build(keys, "key", R.Options(mode="fast", leaf_size=5, average_bucket_size=16))
+    pairs = K.signatures128(tokens, "key").agg(F.countDistinct("high", "low").alias("distinct_pairs"))
+    found = R.lookup(model, keys, "key").agg(F.count("*").alias("n"), F.countDistinct("key").alias("distinct_keys"), F.max("idx").alias("max_idx"))
+    return found.crossJoin(F.broadcast(pairs)).select("n", "distinct_keys", "distinct_pairs", "max_idx")  # one row each
 
 
 @query("select count(*) as n, count(*) as distinct_idx, 0::bigint as min_idx, count(*) - 1 as max_idx from (select distinct t from (select unnest(regexp_split_to_array(html, '\\s+')) as t from pages) where t <> '')")
@@ -582,4 +811,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: sql() if callable(sql) else sql for name, sql in SQL.items()}

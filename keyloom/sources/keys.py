@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..functions.codes import BitBuffer
-from ..plans.tables import as_table
+from ..functions.codes import pack_rice_apart, pack_var_longs, unpack_rice_apart, unpack_var_longs
+from ..plans.tables import as_table, filesystem
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -24,23 +22,29 @@ def tokens(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.split(F.col(column), r"\s+")).alias("key")).where("key <> ''")
 
 
-def records(spark: SparkSession, path: str, mix: bool = True, slice_bytes: int = 1 << 25) -> DataFrame:
-    """Big-endian 8-byte records of binary files, mixed unless told otherwise; a rest of fewer bytes is left out."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+def records(spark: SparkSession, path: str, mix: bool = True, slice_bytes: int = 1 << 26) -> DataFrame:
+    """Big-endian 8-byte records of binary files of any size, mixed unless told otherwise; a rest of fewer bytes is left out.
+
+    Only names and lengths of the files are listed; tasks read slices of ``slice_bytes`` each, so a large file is many tasks.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", (F.col("length") - F.col("length") % 8).alias("size"))
+    slices = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(slice_bytes).cast("long"))).alias("at"))
 
     def run(batches):
         for batch in batches:
-            for value in batch.column("content"):
-                data = value.as_buffer()
-                for i in range(0, len(data) // 8 * 8, slice_bytes):
-                    part = np.frombuffer(data, ">i8", min(slice_bytes, len(data) // 8 * 8 - i) // 8, i).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(H.np_mix64(part.view(np.uint64)).view(np.int64) if mix else part)], ["key"])
+            for r in batch.to_pylist():
+                fs, name = filesystem(r["path"])
+                with fs.open_input_file(name) as stream:
+                    for at in range(r["at"], min(r["size"], r["at"] + slice_bytes), 1 << 22):
+                        part = np.frombuffer(stream.read_at(min(1 << 22, r["size"] - at, r["at"] + slice_bytes - at), at), ">i8").astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(H.np_mix64(part.view(np.uint64)).view(np.int64) if mix else part)], ["key"])
 
-    return files.mapInArrow(run, "key long")
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    return slices.repartition(tasks, "path", "at").mapInArrow(run, "key long")
 
 
 def write_records(keys: np.ndarray) -> bytes:
-    return struct.pack(f">{len(keys)}q", *keys.tolist())
+    return np.asarray(keys, ">i8").tobytes()
 
 
 def distinct_keys(df: DataFrame, column: str) -> DataFrame:
@@ -59,7 +63,21 @@ def length_first(column: str) -> list[Column]:
 
 
 def signatures(df: DataFrame, column: str, seed: int = 0) -> DataFrame:
-    return df.select(H.hash_bytes("murmur2_64", F.col(column), seed).alias("key"))
+    """64-bit signatures of the distinct values of a column: keys of their own, of a fixed size."""
+    return df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().select("value", H.hash_bytes("murmur2_64", F.col("value"), seed).alias("key"))
+
+
+def signatures128(df: DataFrame, column: str, seed: int = 0) -> DataFrame:
+    """value, and the two halves of a 128-bit signature: even of 10**12 values no two are likely to share it."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    return rows.select("value", H.hash_bytes("murmur3_128_high", F.col("value"), seed).alias("high"), H.hash_bytes("murmur3_128_low", F.col("value"), seed).alias("low"))
+
+
+def block_sorted(spark: SparkSession, n: int, seed: int = 0, blocks: int = 16) -> DataFrame:
+    """block and key: generated keys dealt by their top bits, in unsigned order over blocks but not within them."""
+    bits = max(1, (blocks - 1).bit_length())
+    rows = generated(spark, n, seed).withColumn("block", F.shiftrightunsigned("key", 64 - bits))
+    return rows.repartitionByRange(1 << bits, "block").select("block", "key")
 
 
 def generated(spark: SparkSession, n: int, seed: int = 0, bits: int = 64) -> DataFrame:
@@ -67,27 +85,40 @@ def generated(spark: SparkSession, n: int, seed: int = 0, bits: int = 64) -> Dat
     return H.with_wrapped(spark.range(n), key=H.bijection(F.col("id") + seed, bits)).select("key")
 
 
-def write_deltas(keys: DataFrame, code: str = "varint", rice_k: int = 50) -> DataFrame:
-    """Sorted unsigned signatures as coded differences: a row (part, n, first, data) for each range of keys.
+def write_deltas(keys: DataFrame, code: str = "varint", rice_k: int = 50, block: int = 1 << 16) -> DataFrame:
+    """Sorted unsigned signatures as coded differences: a row (part, at, n, first, data) for each ``block`` of keys.
 
-    Parts follow each other in unsigned order. ``first`` is a part's first key; ``data`` the differences of the others.
+    Parts follow each other in unsigned order, and blocks within a part from ``at`` on. ``first`` is a block's first
+    key; ``data`` the differences of the others.
     """
     if code not in ("varint", "rice"):
         raise ValueError(code)
+    schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        values = [batch.column("key").to_numpy() for batch in batches]
-        keys_ = np.concatenate(values).view(np.uint64) if values else np.zeros(0, np.uint64)
-        if len(keys_):
-            out = BitBuffer()
-            for d in np.diff(keys_).tolist():
-                out.write_var_long(d) if code == "varint" else out.write_rice(rice_k, d)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((TaskContext.get().partitionId(), pa.int32()), (len(keys_), pa.int64()), (int(keys_[:1].view(np.int64)[0]), pa.int64()), (out.to_bytes(), pa.binary()))], ["part", "n", "first", "data"])
+        part, held, size, done = TaskContext.get().partitionId(), [], 0, 0
+
+        def blocks(last: bool):
+            nonlocal held, size, done
+            values = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            while len(values) >= block or last and len(values):
+                own, values = values[:block], values[block:]
+                data = pack_var_longs(np.diff(own)) if code == "varint" else pack_rice_apart(np.diff(own), rice_k)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, done, len(own), int(own[:1].view(np.int64)[0]), data), schema)], schema=schema)
+                done += len(own)
+            held, size = [values], len(values)
+
+        for batch in batches:
+            held.append(batch.column("key").to_numpy().view(np.uint64))
+            size += batch.num_rows
+            if size >= block:
+                yield from blocks(False)
+        yield from blocks(True)
 
     by = H.unsigned_order(F.col("key"))
-    return as_table(keys.select("key").withColumn("__by", by).repartitionByRange("__by").sortWithinPartitions("__by").select("key").mapInArrow(run, "part int, n long, first long, data binary"), "deltas")
+    return as_table(keys.select("key").withColumn("__by", by).repartitionByRange("__by").sortWithinPartitions("__by").select("key").mapInArrow(run, "part int, at long, n long, first long, data binary"), "deltas")
 
 
 def read_deltas(table: DataFrame, code: str = "varint", rice_k: int = 50) -> DataFrame:
@@ -96,12 +127,11 @@ def read_deltas(table: DataFrame, code: str = "varint", rice_k: int = 50) -> Dat
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                buffer = BitBuffer(r["data"])
-                steps = [buffer.read_var_long() if code == "varint" else buffer.read_rice(rice_k) for _ in range(r["n"] - 1)]
-                keys = np.cumsum(np.array([r["first"] & (1 << 64) - 1, *steps], np.uint64), dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([r["part"]] * r["n"], pa.int32()), pa.array(np.arange(r["n"])), pa.array(keys.view(np.int64))], ["part", "pos", "key"])
+                steps = unpack_var_longs(r["data"]) if code == "varint" else unpack_rice_apart(r["data"], rice_k, r["n"] - 1)
+                keys = np.cumsum(np.concatenate([np.array([r["first"]], np.int64).view(np.uint64), steps]), dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([r["part"]] * r["n"], pa.int32()), pa.array(r["at"] + np.arange(r["n"])), pa.array(keys.view(np.int64))], ["part", "pos", "key"])
 
-    return table.mapInArrow(run, "part int, pos long, key long")
+    return table.select("part", "at", "n", "first", "data").mapInArrow(run, "part int, pos long, key long")
 
 
 def deltas(keys: DataFrame, column: str, ranges: int = 256) -> DataFrame:

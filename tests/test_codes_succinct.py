@@ -45,14 +45,68 @@ def test_rank_select_exhaustive():
             ones = np.flatnonzero(bits)
             assert [r.select(i) for i in range(len(ones))] == ones.tolist() and r.select(len(ones)) == -1
             assert all(r.rank(x) == bits[:x].sum() and r.get(x) == bits[x] for x in range(n))
-            assert not r.get(n + 5)
+            assert not r.get(n + 5) and r.read_bits() == 144
+            for kind in (S.InventorySelect, S.BlockSelect):
+                assert [kind(bits).select(i) for i in range(-1, len(ones) + 1)] == [-1, *ones.tolist(), -1]
+            again, _ = S.BlockSelect.read(S.BlockSelect(bits).to_bytes(), 0)
+            assert [again.select(i) for i in range(len(ones))] == again.all().tolist() == ones.tolist()
+
+
+def test_select_of_sparse_bits():
+    bits = np.zeros(400_000, bool)
+    bits[[3, 70_000, 70_001, 399_999]] = True
+    dense = np.concatenate([np.ones(5000, bool), bits, np.ones(3000, bool)])
+    ones = np.flatnonzero(dense)
+    for kind in (S.InventorySelect, S.BlockSelect):
+        s = kind(dense)
+        assert [s.select(i) for i in range(0, len(ones), 7)] == ones[::7].tolist() and s.select_pair(4999) == (4999, 5003)
+    assert S.InventorySelect(dense).far
+
+
+def test_packed_sizes():
+    v = np.cumsum(np.random.default_rng(5).integers(90, 110, 10_000))
+    fano, stages = S.EliasFanoList(v), S.MultiStageList(v)
+    assert len(fano.to_bytes()) * 8 < fano.size_bits() + 1000 and len(stages.to_bytes()) * 8 < stages.size_bits() + 1000
+    assert fano.size_bits() < 10_000 * 11 and stages.size_bits() < 10_000 * 12
+    assert (fano.all() == v).all() and (stages.all() == v).all() and (S.Packed.of(v).all() == v).all()
+    assert len(S.EliasFanoList([]).all()) == len(S.MultiStageList([]).all()) == 0
+
+
+def test_array_codes():
+    rng = np.random.default_rng(6)
+    streams = [(rng.integers(0, 3000, n), rng.integers(0, 9, n)) for n in (0, 1, 5, 300)]
+    packed = [C.pack_rice(v, k) for v, k in streams]
+    starts = 8 * np.cumsum([0, *(len(b) for b, _ in packed)])[:-1]
+    for found, (v, _) in zip(C.unpack_rice(b"".join(b for b, _ in packed), [k for _, k in streams], starts), streams):
+        assert found.tolist() == v.tolist()
+    b = C.BitBuffer(packed[3][0])
+    assert [b.read_rice(int(k)) for k in streams[3][1]] == streams[3][0].tolist()
+    u = np.concatenate([rng.integers(0, 1 << 63, 500).astype(np.uint64), np.array([0, 127, 128, (1 << 64) - 1], np.uint64)])
+    assert (C.unpack_var_longs(C.pack_var_longs(u)) == u).all() and len(C.unpack_var_longs(b"")) == 0
+    assert (C.unpack_rice_apart(C.pack_rice_apart(u, 59), 59, len(u)) == u).all() and len(C.unpack_rice_apart(b"", 4, 0)) == 0
+
+
+def test_bit_buffer():
+    b = C.BitBuffer()
+    b.write_number(0b1011, 4)
+    assert b.to_bytes() == b"\xb0"
+    b.write_bit(1), b.write_number(3, 7)
+    other = C.BitBuffer()
+    other.write_rice(2, 9), other.write_elias_delta(5)
+    b.write(other)
+    assert (b.read_number(4), b.read_bit(), b.read_number(7), b.read_rice(2), b.read_elias_delta()) == (0b1011, 1, 3, 9, 5) and len(b) == b.pos
+    b.seek(0), b.clear_bits(4)
+    assert b.read_number(5) == 1
+    b.clear()
+    assert len(b) == 0 and b.to_bytes() == b""
 
 
 def test_lists():
     rng = np.random.default_rng(2)
     for n in (1, 2, 10, 1000):
         v = np.cumsum(rng.integers(0, 50, n))
-        for lst in (S.monotone_list(v), S.monotone_list(v, False)):
+        lists = [S.EliasFanoList(v), S.MultiStageList(v)]
+        for lst in (*lists, *(type(x).from_bytes(x.to_bytes()) for x in lists), S.FenwickList(v)):
             assert [lst.get(i) for i in range(n)] == v.tolist()
             assert n < 2 or lst.get_pair(0) == (v[0], v[1])
     w = rng.integers(0, 1000, 100)

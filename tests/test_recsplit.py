@@ -63,6 +63,8 @@ def test_fast(spark):
     keys = H.with_wrapped(spark.range(3000), k=H.mix64(F.col("id"))).select("k")
     model = R.build(keys, "k", R.Options(mode="fast", leaf_size=5, average_bucket_size=16))
     assert bijective(R.lookup(model, keys, "k"), 3000)
+    with pytest.raises(Exception, match="null"):
+        R.build(spark.createDataFrame([(1 << 40,), (None,)], "k long"), "k", R.Options(mode="fast"))
     with pytest.raises(Exception, match="64 keys"):
         R.build(spark.range(500).select(F.col("id").alias("k")), "k", R.Options(mode="fast"))
 
@@ -74,7 +76,7 @@ def test_other(spark):
         assert bijective(O.lookup_chd(O.build_chd(keys, "k", factor=factor), keys, "k"), 1500)
     assert O.lookup_k_chd(O.build_k_chd(keys, "k", k=3), keys, "k").groupBy("slot").count().agg(F.max("count")).first()[0] <= 3
     levels = O.bbhash_levels(keys, "k")
-    assert levels.count() == levels.select("key").distinct().count() == 1500
+    assert levels.count() == levels.select("key").distinct().count() == 1500 and levels.where("slot is null").isEmpty()
     absent = spark.createDataFrame([(-5,), (3,), (None,)], "k long")
     values = keys.withColumn("v", F.concat(F.lit("v"), "k"))
     assert {r.k: r.value for r in O.cuckoo_lookup(values, absent, "k", "v").collect()} == {-5: None, 3: "v3", None: None}
@@ -117,6 +119,156 @@ def test_sources(spark, tmp_path):
         assert sorted(r.key for r in K.read_deltas(K.write_deltas(keys, code), code).collect()) == sorted(r.key for r in keys.collect())
 
 
+ODD_COLUMNS = "k long, h long, bucket string, part int, bitmap string, idx2 map<string,int>, __n int, offset int, value2 string"
+
+
+def test_columns_of_any_name(spark):
+    """Lookups keep the caller's columns, whatever they are named, maps among them; null keys and repeated rows stay."""
+    keys = spark.range(1000).select(F.col("id").alias("k"))
+    rows = spark.createDataFrame([(k, 7, "b", 3, "m", {"a": 1}, 5, 6, "v") for k in [*range(50), 5, 5, 5, None]], ODD_COLUMNS)
+    lookups = [
+        lambda df: R.lookup(R.build(keys, "k"), df, "k"),
+        lambda df: O.lookup_bdz(O.build_bdz(keys, "k"), df, "k"),
+        lambda df: O.lookup_chd(O.build_chd(keys, "k"), df, "k"),
+        lambda df: X.xor_contains(X.build_xor(keys, "k"), df, "k", "idx"),
+        lambda df: O.cuckoo_lookup(keys.withColumn("v", F.concat(F.lit("v"), "k")), df, "k", "v", "idx"),
+    ]
+    for f in lookups:
+        found = f(rows)
+        assert found.columns == [*rows.columns, "idx"]
+        got = found.collect()
+        assert len(got) == 54 and all((r.h, r.bucket, r.part, r.bitmap, r.idx2, r["__n"], r.offset) == (7, "b", 3, "m", {"a": 1}, 5, 6) for r in got)
+        assert [r.idx for r in got if r.k is None] in ([None], [False])
+        assert f(rows.limit(0)).count() == 0
+        with pytest.raises(ValueError, match="a column"):
+            f(rows.withColumn("idx", F.lit(1)))
+    model = R.build(keys, "k")
+    marks = X.mark(model, rows.where("k < 40"), "k")
+    assert sorted(r.k for r in X.unmarked(model, marks, rows.where("k is not null"), "k").collect()) == list(range(40, 50))
+    assert X.unmarked(model, marks, rows, "k").columns == rows.columns
+
+
+def test_hot_keys_stay_where_they_are(spark):
+    """Functions of many files have rows dealt by file in partitions that may be split; smaller ones move no rows, so a hot key is as many tasks as its rows were."""
+    keys = spark.range(3000).select(F.col("id").alias("k"))
+    hot = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 3 > 0, 5).otherwise(F.col("id") % 3000).alias("k"))
+    model = O.build_bdz(keys, "k")
+    want = {r.k: r.idx for r in O.lookup_bdz(model, keys, "k").collect()}
+    before = O.FEW_PARTS, R.FEW_PARTS
+    found = O.lookup_bdz(model, hot, "k")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.select(F.spark_partition_id().alias("p")).distinct().count() == 8
+    try:
+        O.FEW_PARTS = R.FEW_PARTS = -1
+        dealt = O.lookup_bdz(model, hot, "k")
+        assert "REBALANCE" in dealt._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, found.collect())) and all(r.idx == want[r.k] for r in found.collect())
+        small = R.build(keys, "k")
+        assert bijective(R.lookup(small, keys, "k"), 3000)
+    finally:
+        O.FEW_PARTS, R.FEW_PARTS = before
+
+
+def test_overflown_buckets_are_saved(spark, tmp_path):
+    keys = spark.range(2000).select(F.col("id").alias("k"))
+    model = R.build(keys, "k", R.Options(overflow=1, average_bucket_size=30))
+    assert model.fallback is not None
+    model.save(str(tmp_path / "m"))
+    want = sorted(map(tuple, R.lookup(model, keys, "k").collect()))
+    data = model.to_bytes()
+    for again in (R.Model.load(spark, str(tmp_path / "m")), R.Model.from_bytes(spark, data, model.options)):
+        assert sorted(map(tuple, R.lookup(again, keys, "k").collect())) == want
+    said = R.describe_bytes(data, model.options)
+    assert said["fallback"] and said["n"] == 2000 and said["keys_in_trees"] == model.fallback_offset and said["tree_bits"] <= 8 * said["tree_bytes"] < said["tree_bits"] + 8
+
+
+@pytest.mark.parametrize("options", [R.Options(lists="multi_stage"), R.Options(split_mode="legacy"), R.Options(leaf_size=5, split_mode="legacy", lists="multi_stage", average_bucket_size=40)])
+def test_lists_and_older_rules(spark, options):
+    keys = spark.range(1200).select(F.col("id").alias("k"))
+    model = R.build(keys, "k", options)
+    want = sorted(map(tuple, R.lookup(model, keys, "k").collect()))
+    assert sorted(i for _, i in want) == list(range(1200))
+    again = R.Model.from_bytes(spark, model.to_bytes(), options)
+    assert sorted(map(tuple, R.lookup(again, keys, "k").collect())) == want
+
+
+def test_blocks(spark):
+    keys = H.with_wrapped(spark.range(4000), k=H.mix64(F.col("id"))).select("k")
+    store = R.build_blocks(keys, "k", per_block=600)
+    assert store.blocks == 8 and {r.block: r.n for r in store.header().collect()}[None] == 4000
+    whole = {r.k: r.idx for r in R.lookup(store.model, keys, "k").collect()}
+    assert sorted(whole.values()) == list(range(4000))
+    own = keys.where(F.shiftrightunsigned("k", 61) == 6)
+    part = R.lookup(store.block(6), own, "k").collect()
+    assert part and all(whole[r.k] == r.idx for r in part)
+
+
+def test_long_set():
+    import numpy as np
+
+    keys = np.array([*range(1, 3000), -5, 2**62, -(2**63)])
+    s = O.LongSet(keys)
+    assert s.contains(keys).all() and not s.contains(np.array([0, 3000, -6])).any()
+    at = s.index(keys)
+    assert len(set(at.tolist())) == len(keys) and (s.slots[at] == keys).all()
+    for bad in ([0, 1], [3, 3]):
+        with pytest.raises(ValueError):
+            O.LongSet(bad)
+
+
+def test_filter_bytes():
+    import numpy as np
+
+    h = H.np_mix64(np.arange(2000, dtype=np.uint64))
+    data = X.xor_to_bytes(h)
+    assert X.xor_test_bytes(data, h).all() and X.xor_test_bytes(data, H.np_mix64(np.arange(10**6, 10**6 + 2000, dtype=np.uint64))).mean() < 0.02
+    with pytest.raises(ValueError):
+        X.xor_test_bytes(data[:-1], h)
+
+
+def test_peeling_in_rounds():
+    import numpy as np
+
+    assert O.peel(np.array([[0, 1, 2], [0, 1, 2]]), 3) is None
+    edges = np.array([[0, 3, 6], [1, 3, 6], [1, 4, 7], [2, 4, 8]])
+    seen = []
+    for e, v in O.peel(edges, 9):
+        assert all(v[i] in edges[e[i]] for i in range(len(e)))
+        assert not set(v.tolist()) & {u for f in range(4) if f not in [*seen, *e] for u in edges[f].tolist()}
+        seen += e.tolist()
+    assert sorted(seen) == [0, 1, 2, 3]
+
+
+def test_ways_to_split(spark):
+    rows = {r.strategy: r for r in P.strategies(spark, 8, 96).collect()}
+    assert set(rows) == {"optimised", "legacy", "halves", "beam", "even parts"}
+    assert rows["beam"].bits <= rows["halves"].bits + 1e-9 and min(r.bits for r in rows.values()) > 1.44
+    assert all(P.legacy_split(n, 8) != 0 and sum(P.parts_of(n, P.legacy_split(n, 8))) == n for n in range(9, 500))
+    assert P.binomial(5, 2) == pytest.approx(10) and P.tail(20, 0) == pytest.approx(1) and P.size_biased(20, 200).sum() == pytest.approx(1)
+
+
+def test_more_sources(spark, tmp_path):
+    from keyloom.streaming.lookup import windowed_counts
+
+    K.save_manifest(spark, str(tmp_path / "man"), {"a": "1", "b": "x"})
+    assert K.load_manifest(spark, str(tmp_path / "man")) == {"a": "1", "b": "x"}
+    import numpy as np
+
+    (tmp_path / "big.bin").write_bytes(K.write_records(np.arange(10_000)))
+    assert sorted(r.key for r in K.records(spark, str(tmp_path / "big.bin"), False, slice_bytes=4096).collect()) == list(range(10_000))
+    blocks = K.block_sorted(spark, 1000, 3, 8).withColumn("p", F.spark_partition_id())
+    assert blocks.groupBy("block").agg(F.countDistinct("p").alias("c")).where("c > 1").isEmpty() and blocks.select("key").distinct().count() == 1000
+    values = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "s string")
+    assert K.signatures(values, "s").count() == K.signatures128(values, "s").count() == 2
+    keys = spark.range(20).select(F.col("id").alias("k"))
+    model = R.build(keys, "k")
+    spark.createDataFrame([(i % 20, f"2024-01-01 0{i // 20}:30:00") for i in range(60)], "k long, ts string").write.parquet(str(tmp_path / "ev"))
+    stream = spark.readStream.schema("k long, ts string").parquet(str(tmp_path / "ev"))
+    q = windowed_counts(model, stream, "k", "ts").writeStream.format("memory").outputMode("complete").queryName("counts").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("counts").collect()
+    assert len(got) == 60 and all(r.cnt == 1 for r in got)
+
+
 def test_stream(spark, tmp_path):
     from keyloom.streaming.lookup import lookup_stream
 

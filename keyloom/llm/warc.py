@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_table, filesystem, shared_dir
+from .shared import as_table, filesystem, salted_join, shared_dir
 
 _ENTRY = pa.schema([("urlkey", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("path", pa.string()), ("chunk", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
 _ENTRY_SQL = "urlkey string, timestamp string, page_id long, record_type string, payload_digest string, path string, chunk long, offset long, length long"
@@ -84,14 +84,17 @@ def with_responses(pages: DataFrame, least: int = 1000) -> DataFrame:
 
     Of equal payloads of at least ``least`` bytes the largest page_id is the response; rows that repeat it are
     responses too, and so are all where no page_id is known. Only payloads that occur more than once are joined; they
-    are counted with partial sums first and written as a table, so that both sides of the join are plain exchanges
-    whose hot partitions can be split.
+    are counted with partial sums first and written as a table, and the pages of one that is very frequent are dealt over
+    tasks. Null payloads are empty; no pages give none; other columns are ignored.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
-    copies = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null").drop("n")
+    large = F.col("bytes") >= least
+    copies = rows.where(large).groupBy("digest", "bytes").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null")
     copies = as_table(copies, "copies")
-    joined = rows.join(copies, ["digest", "bytes"], "left")
+    # short payloads, null ones among them, share no key: they find nothing in the join
+    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("short "), F.xxhash64("page_id", "url", "html").cast("string")))
+    joined = salted_join(rows.withColumn("__key", key), copies.select(F.col("digest").alias("__key"), "winner"), "__key", F.struct("page_id", "url"), "left", counts=copies.select(F.col("digest").alias("__key"), "n"))
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("winner").eqNullSafe(F.col("page_id")), F.col("winner")).alias("refers_to"))
 
 
@@ -138,12 +141,13 @@ def _key(entry) -> tuple:
 
 
 class LoserTree:
-    """Merges sorted lists: each inner node keeps the loser of its match, so a step replays one path only."""
+    """Merges sorted streams: each inner node keeps the loser of its match, so a step replays one path only. One entry of each stream is held."""
 
-    def __init__(self, runs: list[list], key=_key):
-        self.runs, self.key, self.k = runs, key, len(runs)
-        self.at = [0] * self.k
-        self.heads = [key(r[0]) if r else None for r in runs]
+    def __init__(self, runs: list, key=_key):
+        self.runs, self.key, self.k = [iter(r) for r in runs], key, len(runs)
+        self.entries, self.heads = [None] * self.k, [None] * self.k
+        for i in range(self.k):
+            self._next(i)
         self.losers = [-1] * max(1, self.k)
         winners = [-1] * self.k + list(range(self.k))
         for node in range(self.k - 1, 0, -1):
@@ -151,6 +155,10 @@ class LoserTree:
             winners[node], self.losers[node] = (a, b) if self._before(a, b) else (b, a)
         self.winner = winners[1] if self.k > 1 else 0
 
+    def _next(self, i: int) -> None:
+        entry = next(self.runs[i], None)
+        self.entries[i], self.heads[i] = entry, None if entry is None else self.key(entry)
+
     def _before(self, a: int, b: int) -> bool:
         x, y = self.heads[a], self.heads[b]
         if x is None or y is None:
@@ -160,9 +168,8 @@ class LoserTree:
     def __iter__(self):
         while self.k and self.heads[self.winner] is not None:
             w = self.winner
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
-            self.heads[w] = self.key(self.runs[w][self.at[w]]) if self.at[w] < len(self.runs[w]) else None
+            yield self.entries[w]
+            self._next(w)
             node = (w + self.k) // 2
             while node:
                 if self._before(self.losers[node], w):
@@ -171,36 +178,90 @@ class LoserTree:
             self.winner = w
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def _entries(table: pa.Table, rows: int = 1024):
+    """An Arrow table's rows, some of them at a time as Python values."""
+    for batch in table.to_batches(max_chunksize=rows):
+        yield from zip(*(x.to_pylist() for x in batch.columns))
+
+
+def _stored(path: str):
+    """A run in a file of the shared folder, a batch at a time."""
+    fs, name = filesystem(path)
+    with fs.open_input_file(name) as source:
+        for batch in pa.ipc.open_stream(source):
+            yield from _entries(pa.Table.from_batches([batch]))
+
+
+def merge_runs(runs: DataFrame, per_range: int = 1 << 18, most_rows: int = 1 << 17) -> DataFrame:
     """The index in global order of (urlkey, timestamp, page_id), with ``part``: partitions follow each other in that order.
 
-    Ranges are of the whole key, so that one address with very many captures is split as well; in each range the
-    stretches of the sorted runs are merged by a loser tree. A range holds small index rows only.
+    The number of ranges follows from the index, of about ``per_range`` entries each, and ranges are of the whole key, so
+    that one address with very many captures is split as well. In each range the stretches of the sorted runs are found
+    where a batch's keys step back; they are kept as Arrow tables and, beyond ``most_rows`` rows, as files of the
+    shared folder (a task that runs again writes its own), and merged by a loser tree that holds a batch of each stream. Equal
+    entries all stay. No runs give an empty index.
     """
 
+    folder = shared_dir(runs.sparkSession, "merge")
+
     def merge(batches):
         from pyspark import TaskContext
 
-        part, found, last = TaskContext.get().partitionId(), [], None
-        for batch in batches:
-            for entry in zip(*(x.to_pylist() for x in batch.columns)):
-                if last is None or _key(entry) < last:
-                    found.append([])
-                found[-1].append(entry)
-                last = _key(entry)
+        part, (fs, base) = TaskContext.get().partitionId(), filesystem(folder)
+        held, held_rows, stored, last = [], 0, [], None
+
+        def spill():
+            """Held stretches are merged into one file: each spill makes one longer run."""
+            nonlocal held, held_rows
+            name = f"{uuid.uuid4().hex}.run"
+            fs.create_dir(base, recursive=True)
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as sink, pa.ipc.new_stream(sink, _ENTRY) as out:
+                for batch in grouped(LoserTree([_entries(x) for x in held])):
+                    out.write_batch(batch)
+            stored.append(name)
+            held, held_rows = [], 0
+
+        try:
+            for batch in batches:
+                table = pa.Table.from_batches([batch]).cast(_ENTRY)
+                keys = list(map(_key, _entries(table)))
+                cuts = [0, *(i for i in range(1, len(keys)) if keys[i] < keys[i - 1]), len(keys)]
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if a == b:
+                        continue
+                    piece = table.slice(a, b - a)
+                    if not i and held and last is not None and keys[0] >= last:
+                        held[-1] = pa.concat_tables([held[-1], piece])
+                    else:
+                        held.append(piece)
+                    last = keys[b - 1]
+                held_rows += len(keys)
+                if held_rows > most_rows:
+                    spill()
+                    last = None
+            streams = [_stored(f"{folder}/{name}") for name in stored] + [_entries(x) for x in held]
+            for batch in grouped(LoserTree(streams)):
+                yield pa.RecordBatch.from_arrays([pa.array([part] * batch.num_rows, pa.int64()), *batch.columns], ["part", *_ENTRY.names])
+        finally:
+            for name in stored:
+                fs.delete_file(f"{base}/{name}")
+
+    def grouped(entries, rows: int = 8192):
         out: list[tuple] = []
-        for entry in LoserTree(found):
+        for entry in entries:
             out.append(entry)
-            if len(out) == 8192:
-                yield rows(part, out)
+            if len(out) == rows:
+                yield _batch(out)
                 out = []
         if out:
-            yield rows(part, out)
+            yield _batch(out)
+
+    ranges = max(1, -(-runs.count() // per_range))
+    return runs.select(*_ENTRY.names).repartitionByRange(ranges, "urlkey", "timestamp", "page_id").mapInArrow(merge, "part long, " + _ENTRY_SQL)
 
-    def rows(part, out):
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int64()), *(pa.array(x, f.type) for x, f in zip(zip(*out), _ENTRY))], ["part", *_ENTRY.names])
 
-    return runs.select(*_ENTRY.names).repartitionByRange("urlkey", "timestamp", "page_id").mapInArrow(merge, "part long, " + _ENTRY_SQL)
+def _batch(entries: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*entries), _ENTRY)], schema=_ENTRY)
 
 
 def read_records(index: DataFrame) -> DataFrame:

@@ -32,6 +32,22 @@ def test_warc(spark):
     assert warc.read_records(warc.merge_runs(warc.write_archives(pages.limit(0)))).count() == 0
 
 
+def test_merge_in_many_runs(spark):
+    """Small ranges, and runs that go to files: the order is the same."""
+    random.seed(8)
+    pages = spark.createDataFrame([(i, f"http://h{random.randrange(40)}.org/{random.randrange(9)}", "x", "p", "d", 1) for i in range(2000)], PAGES).repartition(8)
+    runs = warc.write_archives(pages, file_bytes=20_000)
+    assert runs.select("path").distinct().count() > 8
+    want = sorted((r.urlkey, r.timestamp, r.page_id) for r in runs.collect())
+    for per_range, most_rows in ((300, 50), (1 << 18, 64), (1 << 18, 1 << 17)):
+        index = as_table(warc.merge_runs(runs, per_range, most_rows), "index").collect()
+        by_part = {}
+        for r in index:
+            by_part.setdefault(r.part, []).append((r.urlkey, r.timestamp, r.page_id))
+        assert len(by_part) > 1 or per_range > 2000
+        assert [x for p in sorted(by_part) for x in by_part[p]] == want
+
+
 def test_url_keys():
     assert warc.url_key("https://www.Example.com:443/A?b=C") == "com,example)/a?b=c"
     assert warc.url_key("http://a.b:8080") == "b,a:8080)/"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import worker_bpe
-from .shared import as_table, sub_batches
+from .shared import numbered, sub_batches
 
 
 class BestFit:
@@ -77,8 +77,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 def pack(cut: DataFrame, capacity: int, max_open: int = 1 << 16, block: int = 1 << 18) -> DataFrame:
     """Adds sequence_id and offset to rows with a length in 1..capacity.
 
-    Rows are dealt by hash into blocks of about ``block`` rows, each packed by one task, longest first within it;
-    the rows are small and no key is shared, so blocks are even. Every row is placed.
+    ``cut`` is a ``numbered`` table: rows are dealt by a hash of their numbers, so that equal rows part as well, into blocks of
+    about ``block`` rows, each packed by one task, longest first within it. Every row is placed.
     """
     count = cut.count()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -92,15 +92,17 @@ def pack(cut: DataFrame, capacity: int, max_open: int = 1 << 16, block: int = 1
             columns = [batch.column(i) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], schema=schema)
 
-    dealt = cut.repartition(max(1, -(-count // block)), F.xxhash64("doc_id", "piece", "ids_crc32"))
-    dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    dealt = cut.repartition(max(1, -(-count // block)), F.xxhash64("r"))
+    dealt = dealt.sortWithinPartitions(F.desc("length"), "r").drop("r")
     return dealt.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """Documents (doc_id, text) cut and packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one end id; null and repeated doc_ids are packed like others; other columns are ignored.
-    The small table of pieces is written before packing, so a lost executor doesn't cause texts to be encoded again.
+    Null and empty texts are one end id; null and repeated doc_ids and repeated rows are packed like others, each by itself;
+    other columns are ignored. Texts of any length are encoded whole and then cut. Pieces of one length come in the order in
+    which the table of pieces was written. No rows give none. The small table of pieces is written before packing, so a lost
+    executor doesn't cause texts to be encoded again.
     """
-    return pack(as_table(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack(numbered(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)

@@ -8,9 +8,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.succinct import prefix_sum
 from .bpe import worker_bpe
 from .shared import as_table, filesystem, shared_dir, sub_batches
 
@@ -29,13 +30,18 @@ class EliasFano:
     def __init__(self, n: int, width: int, low: bytes, high: bytes):
         self.n, self.width = n, width
         self.low, self.high = np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8)
-        counts = np.bitwise_count(self.high)
-        # one 32-bit byte position and one 8-bit count for each 256 values
-        before = np.cumsum(counts, dtype=np.int64)
-        wanted = np.arange(0, n, SAMPLE)
-        at = np.searchsorted(before, wanted, side="right")
-        self.sample_byte = at.astype(np.uint32)
-        self.sample_skip = (wanted - (before[at] - counts[at])).astype(np.uint8) if n else np.zeros(0, np.uint8)
+        # one 32-bit byte position and one 8-bit count for each 256 values, found in stretches of the bits
+        places, skips, seen = [], [], 0
+        for i in range(0, len(self.high), 1 << 15):
+            counts = np.bitwise_count(self.high[i : i + (1 << 15)])
+            ends = np.cumsum(counts, dtype=np.int32)
+            wanted = np.arange(-(-seen // SAMPLE) * SAMPLE, min(n, seen + int(ends[-1])), SAMPLE) - seen
+            at = np.searchsorted(ends, wanted, side="right")
+            places.append((at + i).astype(np.uint32))
+            skips.append((wanted - (ends[at] - counts[at])).astype(np.uint8))
+            seen += int(ends[-1])
+        self.sample_byte = np.concatenate([np.zeros(0, np.uint32), *places])
+        self.sample_skip = np.concatenate([np.zeros(0, np.uint8), *skips])
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -153,6 +159,7 @@ def write_id_files(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int
 
     Rows are dealt by ranges of (doc_id, hash of text), so neither many rows of one doc_id nor the order of the input
     loads one task. Null texts count as empty and null doc_ids come first; rows of one doc_id are ordered by text.
+    Texts of any length are encoded whole; other columns are ignored; no rows give an empty manifest.
     Each attempt of a task writes files of its own, and only those that the manifest lists count.
     Manifest: part, file, path, size, documents, ids, start (ids before the file).
     """
@@ -194,9 +201,7 @@ def write_id_files(docs: DataFrame, tokenizer: str, end_id: int, shard_ids: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("by", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "by").sortWithinPartitions("doc_id", "by", "text").select("doc_id", "text")
     manifest = as_table(rows.mapInArrow(write, "part long, file long, path string, size long, documents long, ids long"), "manifest")
-    # a row for each file, that is for millions of ids
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    return prefix_sum(manifest.withColumn("__at", F.col("part") * (1 << 20) + F.col("file")), "__at", "ids", "start").withColumn("start", F.col("start").cast("long")).drop("__at")
 
 
 _MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("size", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64())])

@@ -53,8 +53,12 @@ def hashed(text: str, buckets: int):
         yield np.concatenate(out).astype(np.int64)
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 5, rate: float = 0.5, seed: int = 7) -> SubwordModel:
-    """One document a step; the rate falls to nothing over the epochs. Classes weigh alike while training, then the bias takes their shares."""
+def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int = 8, epochs: int = 5, rate: float = 0.5, seed: int = 7, totals: tuple[int, int] | None = None) -> SubwordModel:
+    """One document a step; the rate falls to nothing over the epochs.
+
+    Classes weigh alike while training, then the bias takes their shares: those of ``totals``, the rows of each class that
+    the sample is of, or else of the sample. So scores mean the same whether or not the sample's bounds were reached.
+    """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels)
     model = SubwordModel((rng.random((buckets, dim), np.float32) - np.float32(0.5)) / dim, np.zeros((dim, 2), np.float32), np.zeros(2))
@@ -85,7 +89,8 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, dim: int
             model.bias -= lr * p * 0.1
             # the mean's gradient goes to each vector by its share, scaled up as shares are small
             model.vectors[buckets_i] = own - np.float32(lr * 20) * weight[:, None] * step_back
-    model.bias -= np.log(weights)
+    whole = np.array([max(1, x) for x in totals]) / max(2, sum(totals)) if totals and sum(totals) else share
+    model.bias += np.log(whole / (weights * share))
     return model
 
 
@@ -120,34 +125,45 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str, per_class: int, positive=None) -> list:
-    """(text, label) of at most ``per_class`` labelled rows of each class, chosen by hash among those not held out.
+def fit(docs: DataFrame, labels: DataFrame, column: str, per_class: int, longest: int = 100_000) -> tuple[list, tuple[int, int]]:
+    """(text, label) of at most ``per_class`` labelled rows of each class, chosen by hash among those not held out, and how many rows of each class there are.
 
-    A label that is null or whose rows disagree counts by its smallest value; rows without a doc_id are left out, and a
-    doc_id with several texts gives its smallest one.
+    Texts of over ``longest`` characters are not taken, which bounds the sample's bytes as well. A label whose rows disagree
+    counts by its smallest value, null ones not at all; rows without a doc_id are left out, and a doc_id with several texts
+    gives its smallest one.
     """
     one = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(column).cast("int").alias("label"))
     one = one.where(~F.coalesce(held_out(), F.lit(True)))
+    counts = {r.label: r.n for r in one.groupBy("label").agg(F.count("*").alias("n")).where("label in (0, 1)").collect()}
     chosen = None
     for value in (0, 1):
         part = one.where(F.col("label") == value).orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * per_class small rows: the bound allows the broadcast; one text for each doc_id, so it bounds the sample too
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    return [(r.text or "", r.label) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    rows = docs.select("doc_id", "text").where((F.col("text").isNull()) | (F.length("text") <= longest)).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return [(r.text or "", r.label) for r in sorted(rows.collect(), key=lambda r: r.doc_id)], (counts.get(0, 0), counts.get(1, 0))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> SubwordModel:
-    rows = fit(docs, labels, "quality", per_class)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    """Trained on at most ``per_class`` labelled rows of each label; without any, every score is a half."""
+    rows, totals = fit(docs, labels, "quality", per_class)
+    return train([t for t, _ in rows], [y for _, y in rows], totals=totals)
 
 
 def classify(docs: DataFrame, model: SubwordModel, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; a null doc_id is not held out."""
+    """doc_id, held_out, score and predicted of every row; a null doc_id is not held out.
+
+    Null and empty texts get the bias's score; texts of any length are scored whole, in parts; repeated rows each get their
+    score; other columns are ignored; no rows give none.
+    """
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score_column(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep(docs: DataFrame, model: SubwordModel, threshold: float = 0.3) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
+    """The documents that the classifier accepts, with all their columns, whatever they are named.
+
+    Decided by the text alone: repeated rows and rows without doc_id go or stay alike, null texts like empty ones, texts of
+    any length as a whole; a score equal to the threshold stays; no rows give none.
+    """
     return docs.where(score_column(model) >= threshold)

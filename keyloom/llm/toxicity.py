@@ -83,8 +83,12 @@ def grades(rows: list, y: np.ndarray, buckets: int) -> np.ndarray:
     return np.where(y == 1, 1 + np.searchsorted(cuts, density, side="left"), 0)
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, epochs: int = 20, rate: float = 0.3, l2: float = 1e-4, seed: int = 7) -> OrdinalModel:
-    """Adaptive gradient steps on the likelihood of the grades, one document a step."""
+def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, epochs: int = 20, rate: float = 0.3, l2: float = 1e-4, seed: int = 7, totals: tuple[int, int] | None = None) -> OrdinalModel:
+    """Adaptive gradient steps on the likelihood of the grades, one document a step.
+
+    ``totals`` are the rows of either label that the sample is of: the thresholds are moved by the ratio of its odds to
+    theirs, so that scores mean the same whether or not the sample's bounds were reached.
+    """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
     rows = [counts(t or "", buckets) for t in texts]
@@ -99,24 +103,30 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 17, epochs: i
             gaps = np.exp(free[1:])
             theta = np.concatenate([free[:1], free[0] + np.cumsum(gaps)])
             z = float(w[bucket] @ value)
-            below = np.concatenate([[0.0], 1 / (1 + np.exp(np.clip(z - theta, -30, 30))), [1.0]])  # P(grade < k)
-            slope = below * (1 - below)
-            g = grade[i]
-            p = max(below[g + 1] - below[g], 1e-9)
-            # derivatives of -log p by z and by each threshold
-            by_z = (slope[g + 1] - slope[g]) / p
-            by_theta = np.zeros(GRADES - 1)
-            if g < GRADES - 1:
-                by_theta[g] -= slope[g + 1] / p
-            if g > 0:
-                by_theta[g - 1] += slope[g] / p
+            _, by_z, by_theta = loss(theta, z, grade[i])
             by_free = np.concatenate([[by_theta.sum()], gaps * np.cumsum(by_theta[::-1])[::-1][1:]])
             step = np.float32(by_z) * value + np.float32(l2) * w[bucket]
             w_sum[bucket] += step * step
             w[bucket] -= np.float32(rate) * step / np.sqrt(w_sum[bucket])
             free_sum += by_free**2
             free -= rate * by_free / np.sqrt(free_sum)
-    return OrdinalModel(w, np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))]))
+    thresholds = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
+    if totals and min(totals) and 0 < y.sum() < len(y):
+        thresholds = thresholds + np.log(y.sum() / (len(y) - y.sum())) - np.log(totals[1] / totals[0])
+    return OrdinalModel(w, thresholds)
+
+
+def loss(theta: np.ndarray, z: float, g: int) -> tuple[float, float, np.ndarray]:
+    """Minus the log probability of grade g, and its derivatives by z and by each threshold."""
+    below = np.concatenate([[0.0], 1 / (1 + np.exp(np.clip(z - theta, -30, 30))), [1.0]])  # P(grade < k)
+    slope = below * (1 - below)
+    p = max(below[g + 1] - below[g], 1e-9)
+    by_theta = np.zeros(len(theta))
+    if g < len(theta):
+        by_theta[g] -= slope[g + 1] / p
+    if g > 0:
+        by_theta[g - 1] += slope[g] / p
+    return -float(np.log(p)), float((slope[g + 1] - slope[g]) / p), by_theta
 
 
 def logit(model: OrdinalModel, text: str) -> float:
@@ -137,17 +147,25 @@ def score_column(model: OrdinalModel) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> OrdinalModel:
-    """Trained on at most ``per_class`` labelled rows of each label."""
-    rows = fit(docs, labels, "toxic", per_class)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    """Trained on at most ``per_class`` labelled rows of each label; without any, no text has a telling word."""
+    rows, totals = fit(docs, labels, "toxic", per_class)
+    return train([t for t, _ in rows], [y for _, y in rows], totals=totals)
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, threshold: float = 0.3) -> DataFrame:
-    """doc_id, severity (0 to 3), p_toxic and toxic (1 where p_toxic >= threshold) of every row."""
+    """doc_id, severity (0 to 3), p_toxic and toxic (1 where p_toxic >= threshold) of every row.
+
+    Texts without words and null ones have severity 0; texts of any length are graded whole; nulls and repeats of doc_id
+    stay, repeated rows get the same; other columns are ignored; no rows give none.
+    """
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", score_column(model).alias("s"))
     return scored.select("doc_id", "s.severity", "s.p_toxic", (F.col("s.p_toxic") >= threshold).cast("int").alias("toxic"))
 
 
 def keep(docs: DataFrame, model: OrdinalModel, threshold: float = 0.3) -> DataFrame:
-    """The documents that aren't toxic, with all their columns."""
+    """The documents that aren't toxic, with all their columns, whatever they are named.
+
+    Decided by the text alone: repeated rows and rows without doc_id go or stay alike, null, empty and wordless texts stay,
+    texts of any length are graded whole; a probability equal to the threshold goes; no rows give none.
+    """
     return docs.where(score_column(model)["p_toxic"] < threshold)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_table
+from .shared import as_table, sub_batches
 
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 16  # 8 kHz samples become 6 kHz ones
 FRAME, HOP, MELS, PATCH = 256, 128, 24, 16
@@ -137,40 +137,54 @@ def digest(table: pa.Table) -> str:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media of every whole text (null: empty), written to the shared folder and read again."""
+    """doc_id, n_bytes and media of every whole text (null: empty), written to the shared folder and read again.
+
+    Texts of any length are stored whole, a batch of a few million characters at a time; nulls and repeats of doc_id and
+    repeated rows stay, with equal media for equal texts; other columns are ignored; no rows give none.
+    """
 
     def run(batches):
         for batch in batches:
-            lengths, media = [], []
-            for text in batch.column("text"):
-                data = (text.as_py() or "").encode()
-                lengths.append(len(data))
-                media.append(to_wav(data + b" " * (max(ALIGN, -(-len(data) // ALIGN) * ALIGN) - len(data))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            for rows, texts in sub_batches(batch, "text", 4_000_000):
+                raw = [x.encode() for x in texts]
+                media = [to_wav(x + b" " * (max(ALIGN, -(-len(x) // ALIGN) * ALIGN) - len(x))) for x in raw]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return as_table(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-def features(media: DataFrame, keep: bool = False) -> DataFrame:
-    """Reads media (doc_id, n_bytes, media) back and computes features, without a shuffle.
+_FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
-    Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature;
-    with ``keep`` also tensors, an Arrow stream of the fixed-shape tensors with their time spans.
-    """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", tensors binary" * keep
+
+def tensor_table(media: DataFrame) -> DataFrame:
+    """Reads media (doc_id, n_bytes, media) back, and stores what it found: sizes and hashes, and ``tensors``, an Arrow stream of the fixed-shape tensors with their time spans. Without a shuffle; a row of very long media is a batch by itself."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for data in batch.column("media"):
+            doc_ids, lengths = batch.column("doc_id"), batch.column("n_bytes")
+            rows, out, held = [], [], 0
+            for i, data in enumerate(batch.column("media")):
                 data = data.as_py()
                 payload = from_wav(data)
-                ipc = to_ipc(tensors(payload))
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), digest(from_ipc(ipc)))
-                out.append((*row, ipc) if keep else row)
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors"][: 6 + keep]
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(x, t) for x, t in zip(zip(*out), types))], ["doc_id", "n_bytes", *names])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+                rows.append(i)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), to_ipc(tensors(payload))))
+                held += len(data)
+                if held > 4_000_000 or i == batch.num_rows - 1:
+                    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                    own = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([doc_ids.take(own), lengths.take(own), *(pa.array(x, t) for x, t in zip(zip(*out), types))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensors"])
+                    rows, out, held = [], [], 0
+
+    return as_table(media.select("doc_id", "n_bytes", "media").mapInArrow(run, _FACTS + ", tensors binary"), "tensors")
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """A ``tensor_table`` read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature, the digest of the stored tensors. Equal texts have equal values; no rows give none."""
+
+    def digests(column):
+        return pa.array([digest(from_ipc(x.as_py())) for x in column], pa.string())
+
+    digests.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    names = [c.split(" ")[0] for c in _FACTS.split(", ")]
+    return stored.select(*names, F.arrow_udf(digests, "string")("tensors").alias("feature"))

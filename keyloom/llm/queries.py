@@ -75,9 +75,9 @@ def op9_block_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .audio import features, store
+    from .audio import features, store, tensor_table
 
-    return features(store(_read(spark, sf_dir, "documents")))
+    return features(tensor_table(store(_read(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict:

@@ -173,7 +173,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     selects its candidate templates, so most units meet none; the templates are fixed, which bounds the broadcast.
     Before all that, texts without any of the templates' anchors are passed over, as they can't match.
     Null and empty texts and units of fewer than two words match nothing; rows of one doc_id (or none) are counted
-    together; only documents with a match are returned.
+    together; only documents with a match are returned, so no rows give none. A text that matches several licences has a row
+    for each, equally good wordings of one count once. Texts of any length are scanned whole, in work linear in
+    it; other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.col("text")

@@ -69,7 +69,8 @@ def worker_piece(path: str) -> ChunkedPiece:
 def encode_decode(docs: DataFrame, model: str) -> DataFrame:
     """Every whole text (null: empty) encoded with begin and end ids and decoded again, without a shuffle.
 
-    Returns doc_id (nulls and repeats stay), n_tokens, ids_sha256 (little-endian unsigned 32-bit ids), decoded_sha256.
+    Texts of any length are taken in batches of bounded size, a longer one by itself; other columns are ignored; no rows give
+    none. Returns doc_id (nulls and repeats stay), n_tokens, ids_sha256 (little-endian unsigned 32-bit ids), decoded_sha256.
     """
 
     def run(batches):

@@ -112,8 +112,9 @@ def test_sentencepiece(spark):
 
 def test_audio(spark):
     texts = [*ODD, None, "same text " * 50, "same text " * 50, "x" * 100_000]
-    media = audio.store(rows(spark, texts))
-    found = {r.doc_id: r for r in audio.features(media, keep=True).collect()}
+    stored = audio.tensor_table(audio.store(rows(spark, texts)))
+    found = {r.doc_id: r for r in audio.features(stored).collect()}
+    kept = {r.doc_id: r.tensors for r in stored.collect()}
     for i, t in enumerate(texts):
         data = (t or "").encode()
         payload = data + b" " * (-len(data) % 192 if data else 192)
@@ -121,12 +122,12 @@ def test_audio(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         wav = audio.to_wav(payload)
         assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest())
-        table = audio.from_ipc(r.tensors)
+        table = audio.from_ipc(kept[i])
         assert str(table.schema.field("patch").type).startswith("extension<arrow.fixed_shape_tensor")
         assert all(a < b for a, b in zip(table.column("start_s").to_pylist(), table.column("end_s").to_pylist()))
         assert audio.digest(table) == r.feature
     assert found[len(ODD) + 1].feature == found[len(ODD) + 2].feature
-    assert audio.features(audio.store(rows(spark, []))).count() == 0
+    assert audio.features(audio.tensor_table(audio.store(rows(spark, [])))).count() == 0
 
 
 def test_audio_parts():
@@ -138,6 +139,69 @@ def test_audio_parts():
     assert np.allclose(audio.log_mel(y, block=7), audio.log_mel(y), atol=1e-3)
 
 
+def test_log_mel_by_force():
+    """Against sums written out: a direct transform of windowed frames, and triangles on the mel scale."""
+    y = np.random.default_rng(9).normal(size=700)
+    n, bands, rate = 256, 24, 6000
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(mel(40), mel(rate / 2), bands + 2)]
+    want = []
+    for start in range(0, 4 * 128 + 1, 128):
+        frame = [(y[start + t] if start + t < len(y) else 0.0) * (0.5 - 0.5 * np.cos(2 * np.pi * t / (n - 1))) for t in range(n)]
+        power = [abs(sum(x * np.exp(-2j * np.pi * k * t / n) for t, x in enumerate(frame))) ** 2 for k in range(n // 2 + 1)]
+        row = []
+        for b in range(bands):
+            low, mid, high = edges[b : b + 3]
+            row.append(10 * np.log10(sum(p * max(0.0, min((k * rate / n - low) / (mid - low), (high - k * rate / n) / (high - mid))) for k, p in enumerate(power)) + 1e-6))
+        want.append(row)
+    got = audio.log_mel(y.astype(np.float32))
+    assert got.shape == (5, 24) and np.allclose(got, want, atol=0.02)
+
+
+def test_scoring_equals_full_softmax(spark):
+    """One number a bucket gives what the mean vector and the softmax layer give."""
+    texts, good, _ = labelled(120)
+    model = quality.train(texts, good, buckets=1 << 12)
+    docs = rows(spark, texts + ["", None])
+    found = {r.doc_id: r.score for r in quality.classify(docs, model).collect()}
+    for i, t in enumerate(texts + ["", None]):
+        parts = list(quality.hashed(t or "", 1 << 12))
+        mean = model.vectors[np.concatenate(parts)].astype(np.float64).mean(axis=0) if parts else np.zeros(model.vectors.shape[1])
+        z = mean @ model.output + model.bias
+        assert abs(found[i] - np.exp(z[1]) / np.exp(z).sum()) < 1e-5
+
+
+def test_scores_follow_all_labels():
+    """A sample with its classes evened out gives about the scores of the whole set."""
+    texts, good, toxic = labelled(400)
+    even = sorted([i for i in range(400) if not good[i]] + [i for i in range(400) if good[i]][:100])
+    a = quality.train(texts, good, buckets=1 << 12)
+    b = quality.train([texts[i] for i in even], [good[i] for i in even], buckets=1 << 12, totals=(100, 300))
+    share = [quality.train([texts[i] for i in even], [good[i] for i in even], buckets=1 << 12).collapsed()[1], b.collapsed()[1]]
+    assert share[1] - share[0] == pytest.approx(np.log(3), abs=1e-6) and a.collapsed()[1] > share[0]
+    x = toxicity.train([texts[i] for i in even], [toxic[i] for i in even], buckets=1 << 12)
+    n = sum(toxic[i] for i in even)
+    y = toxicity.train([texts[i] for i in even], [toxic[i] for i in even], buckets=1 << 12, totals=(3 * (200 - n), n))
+    assert np.allclose(y.thresholds - x.thresholds, np.log(3))
+
+
+def test_ordinal_loss():
+    """Probabilities add up, and derivatives agree with differences."""
+    theta = np.array([-0.5, 0.4, 2.0])
+    for z in (-2.0, 0.3, 1.7):
+        at_least = [1.0, *(1 / (1 + np.exp(t - z)) for t in theta), 0.0]
+        for g in range(4):
+            value, by_z, by_theta = toxicity.loss(theta, z, g)
+            assert value == pytest.approx(-np.log(at_least[g] - at_least[g + 1]))
+            d = 1e-6
+            assert by_z == pytest.approx((toxicity.loss(theta, z + d, g)[0] - toxicity.loss(theta, z - d, g)[0]) / (2 * d), abs=1e-5)
+            for k in range(3):
+                e = np.eye(3)[k] * d
+                assert by_theta[k] == pytest.approx((toxicity.loss(theta + e, z, g)[0] - toxicity.loss(theta - e, z, g)[0]) / (2 * d), abs=1e-5)
+        model = toxicity.OrdinalModel(np.zeros(4), theta)
+        assert model.severity(z) == pytest.approx(sum(g * (at_least[g] - at_least[g + 1]) for g in range(4)))
+
+
 def test_licenses(spark):
     texts = [None, "", "one", "Released under the MIT License.", "some text of its own\nreleased under the mit LICENSE!\nmore\n\nLicensed under CC BY-NC 4.0.", "Released under the MIT License. " * 2, license.TEMPLATES[3][1].replace(" ", "\n"), "word " * 20000]
     found = {(r.doc_id, r.license): (r.units, r.dice) for r in license.scan(rows(spark, texts)).collect()}

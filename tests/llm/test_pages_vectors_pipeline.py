@@ -122,3 +122,51 @@ def test_pipeline(spark):
         assert {r.doc_id for r in docs.collect()} == want
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, clashing names, very long texts and an empty table go through every stage and ``run``."""
+    import corpus_pipeline
+    from keyloom.llm import bagminhash
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    good = base.join(labels.where("quality = 1 and toxic = 0"), "doc_id", "left_semi").orderBy("doc_id").limit(12).collect()
+    texts = [r.text for r in good]
+    data = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[4] + " end"), (None, texts[5]), (None, texts[6] + " and more"), (None, None), (50, None), (51, ""), (52, " ".join(texts) * 30)]
+    odd = spark.createDataFrame([(i, t, None, None, None, 1, "x", None, 2, "l", {"m": 1}) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long, r long, h string, fp string, id int, label string, doc map<string,int>")
+    (tmp_path / "sf").mkdir()
+    odd.select("doc_id", "text", "lang", "source", "n_chars").union(base.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id > 100")).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "sf" / "labels.parquet"))
+    d = str(tmp_path / "sf")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, d)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert stage(spark, odd.limit(0), d).count() == 0
+        if name == "dedup":
+            classes = {}
+            for i, t in data:
+                words = tuple(bagminhash.words_of(t or "").tolist())
+                near = next((k for k in classes if words == k or bagminhash.similarity(bagminhash.overlap_set(t or ""), classes[k][0]) >= 0.8), words)
+                classes.setdefault(near, [bagminhash.overlap_set(t or ""), []])[1].append((i is None, i or 0))
+            assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted(min(ids) for _, ids in classes.values())
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, d)
+    assert packed.groupBy("doc_id").agg(F.sum("length").alias("n")).count() == odd.select("doc_id").distinct().count()
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), d).count() == 0
+    assert corpus_pipeline.run(spark, d).count() > 0
+
+
+def test_queries_over_their_tables(spark):
+    """Every ``op`` query over the small tables: its columns and a row for each row of its table where the contract says so."""
+    from keyloom.llm import queries
+
+    d, found = "/root/testdata/sf0.001", {}
+    for name, f in queries.queries().items():
+        found[name] = f(spark, d)
+    n = spark.read.parquet(f"{d}/documents.parquet").count()
+    for name, columns in {"op4_quality_classifier": "doc_id held_out score predicted", "op5_toxicity": "doc_id severity p_toxic toxic", "op6_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256", "op7_token_files": "doc_id start n_tokens ids_crc32", "op8_bagminhash": "doc_id class_id", "op10_audio_features": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature"}.items():
+        assert found[name].columns == columns.split() and found[name].count() == n
+    assert found["op2_best_fit_packing"].select("doc_id").distinct().count() == n
+    assert found["op3_warc_index"].count() == spark.read.parquet(f"{d}/pages.parquet").count()
+    assert found["op1_license_scan"].count() > 0 and found["op9_block_matrix_join"].where("rank = 1").count() > 0

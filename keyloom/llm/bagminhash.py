@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import code_points, mix, parts, spans, word_hashes, word_table
-from .shared import among, as_table, numbered, salted_join, sub_batches
+from .shared import among, are_among, as_table, numbered, salted_join, stored_numbers, sub_batches
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares a band with a probability of 0.9999
@@ -156,11 +156,13 @@ def _open(data: bytes):
     return np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n).astype(np.int64)
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """id and packed multiset of texts (r, text)."""
+def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and packed multiset of those rows of the ``numbered`` table ``texts`` (r, text) whose number is in ``ids``: picked in the same Python step, so that a task has one worker."""
+    folder = stored_numbers(ids, "candidates")
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(are_among(folder, batch.column("r"))))
             for rows, texts in sub_batches(batch, "text", 2_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column("r").take(pa.array(rows)), pa.array([zlib.compress(overlap_set(x), 1) for x in texts], pa.binary())], ["id", "bag"])
 
@@ -247,7 +249,7 @@ def _components(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     members = as_table(salted_join(members, buckets.drop("n"), "key", F.col("id"), counts=buckets.select("key", "n")), "shared")
     alike = lambda x, y: f"least({x}, {y}) >= {SIMILARITY} * greatest({x}, {y})"
 
-    bags = as_table(_sets(among(rows, members.select("id").distinct(), "candidates")), "bags")
+    bags = as_table(_sets(rows, members.select("id").distinct()), "bags")
     tested = as_table(members.where("id <> hub").where(alike("weight", "hub_weight")).groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b")), "tested")
     links = as_table(verified(tested, bags), "links")
     labelled = _labelled(members, components(links))

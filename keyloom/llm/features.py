@@ -7,7 +7,7 @@ import functools
 import numpy as np
 
 _R = np.uint64(0x9E3779B97F4A7C15)  # an odd multiplier, so that it has an inverse modulo 2**64
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,13 +26,13 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 @functools.cache
 def space_table() -> np.ndarray:
-    return np.array([chr(i).isspace() for i in range(0x110000)])
+    return np.fromiter((chr(i).isspace() for i in range(0x110000)), bool, 0x110000)
 
 
 @functools.cache
 def word_table() -> np.ndarray:
     """Letters, digits and the underscore."""
-    return np.array([chr(i).isalnum() or chr(i) == "_" for i in range(0x110000)])
+    return np.fromiter((chr(i).isalnum() or chr(i) == "_" for i in range(0x110000)), bool, 0x110000)
 
 
 def code_points(text: str) -> np.ndarray:

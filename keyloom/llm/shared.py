@@ -28,23 +28,30 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return as_table(rows.withColumn("r", F.monotonically_increasing_id()), name)
 
 
-def among(rows: DataFrame, numbers: DataFrame, name: str) -> DataFrame:
-    """Rows of a ``numbered`` table whose ``r`` is in ``numbers`` (one column): neither their other columns nor texts are shuffled.
-
-    The numbers are dealt by the partition that wrote the row and stored as a file for each; a scan task loads the
-    files of the partitions it meets, which are as small as partitions are.
-    """
-    folder = shared_dir(rows.sparkSession, name)
+def stored_numbers(numbers: DataFrame, name: str) -> str:
+    """Folder of row numbers (one column) of a ``numbered`` table, dealt by the partition that wrote the row: a file for each, as small as partitions are."""
+    folder = shared_dir(numbers.sparkSession, name)
     numbers = numbers.select(F.col(numbers.columns[0]).alias("r")).withColumn("p", F.shiftright("r", _PART))
     numbers.repartition("p").write.partitionBy("p").parquet(folder)
+    return folder
+
+
+def are_among(folder: str, r: pa.Array) -> np.ndarray:
+    """Which row numbers are stored in the folder; tasks load the files of the partitions that they meet."""
+    values = r.to_numpy()
+    out = np.zeros(len(values), bool)
+    for p in np.unique(values >> _PART).tolist():
+        at = values >> _PART == p
+        out[at] = np.isin(values[at], _numbers(folder, p))
+    return out
+
+
+def among(rows: DataFrame, numbers: DataFrame, name: str) -> DataFrame:
+    """Rows of a ``numbered`` table whose ``r`` is in ``numbers`` (one column): no row is shuffled, and only ``r`` goes to Python."""
+    folder = stored_numbers(numbers, name)
 
     def found(r: pa.Array) -> pa.Array:
-        values = r.to_numpy()
-        out = np.zeros(len(values), bool)
-        for p in np.unique(values >> _PART).tolist():
-            at = values >> _PART == p
-            out[at] = np.isin(values[at], _numbers(folder, p), assume_unique=True)
-        return pa.array(out)
+        return pa.array(are_among(folder, r))
 
     found.__annotations__ = {"r": pa.Array, "return": pa.Array}
     return rows.where(F.arrow_udf(found, "boolean")(F.col("r")))

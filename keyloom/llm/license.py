@@ -203,17 +203,41 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
 
 
 def scan_sql(templates=TEMPLATES, least: float = 0.8) -> str:
-    """The same in DuckDB's SQL, by comparing every unit with every template."""
+    """The same in DuckDB's SQL, by comparing every unit with every template, and every run with the templates of which its text holds enough bigrams."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in templates)
+    values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
     grams = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
-    words = lambda x: f"string_split(trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+    normal = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    words = lambda x: f"string_split({normal(x)}, ' ')"
+    dice = lambda own: f"2.0 * len(list_intersect({own}, grams)) / (len({own}) + len(grams))"
     return f"""
-        with templates as (select license, {grams} as grams from (select license, {words("text")} as w from (values {values}) t(license, text))),
-        units as (select distinct r, doc_id, unit from (
-            select row_number() over () as r, doc_id, text from documents where text is not null) d,
-            unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n\\s*\\n'), [text])) u(unit)),
-        sets as (select doc_id, {grams} as own from (select doc_id, {words("unit")} as w from units)),
-        found as (select doc_id, license, list_sort(own) as own, max(2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams))) as dice
-            from sets, templates where len(own) > 0 and 2 * least(len(own), len(grams)) >= {least} * (len(own) + len(grams)) - 1e-9 group by all)
-        select doc_id, license, count(*) as units, round(max(dice), 6) as dice from found where dice >= {least} group by all"""
+        with recursive templates as (select template, license, {grams} as grams from (select template, license, {words("text")} as w from (values {values}) t(template, license, text))),
+        texts as (select row_number() over () as r, doc_id, text from documents where text is not null),
+        units as (select distinct r, doc_id, unit from texts, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n\\s*\\n'), [text])) u(unit)),
+        sets as (select r, doc_id, {grams} as own from (select r, doc_id, {words("unit")} as w from units)),
+        found as (select distinct r, doc_id, license, list_sort(own) as own, max({dice("own")}) as dice
+            from sets, templates where len(own) > 0 and 2 * least(len(own), len(grams)) >= {least} * (len(own) + len(grams)) - 1e-9
+            group by r, doc_id, license, list_sort(own), own having max({dice("own")}) >= {least}),
+        -- a sentence ends at a line's end or at a blank after a stop
+        sentences as (select r, doc_id, [string_split(x, ' ') for x in [{normal("s")} for s in
+            string_split(regexp_replace(text, '([.!?])[ \\t\\n\\v\\f\\r]+', '\\1' || chr(10), 'g'), chr(10))] if x <> ''] as parts from texts),
+        places as (select r, doc_id, flatten(parts) as w, flatten(list_transform(parts, lambda x, i: list_transform(x, lambda y: i))) as place from sentences),
+        pairs as (select r, doc_id, place, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] as all_grams from places),
+        -- a run's set is part of the text's, so texts that share too few bigrams have no run that matches
+        hits as (select *, [i for i in range(1, len(all_grams) + 1) if list_contains(grams, all_grams[i])] as hit
+            from pairs, templates where len(list_intersect(list_distinct(all_grams), grams)) >= len(grams) * {least} / (2 - {least}) - 1e-9 and len(grams) > 0),
+        -- runs start and end in sentences with one of the template's bigrams: others only lower the coefficient
+        starts as (select *, unnest(list_distinct([place[i] for i in hit])) as first from hits),
+        spans as (select *, unnest(list_distinct([place[i + 1] for i in hit])) as last from starts),
+        runs as (select r, doc_id, template, license, grams, first, last,
+            list_distinct(all_grams[list_position(place, first):len(list_filter(place, lambda x: x <= last)) - 1]) as own from spans where first <= last),
+        matches as (select *, {dice("own")} as dice from runs where {dice("own")} >= {least}),
+        shortest as (select r, template, last, max(first) as first from matches group by all),
+        -- of runs that overlap, the shortest of those that end first
+        taken(r, template, first, last) as (select r, template, arg_min(first, last), min(last) from shortest group by r, template
+            union all select t.r, t.template, arg_min(s.first, s.last), min(s.last) from taken t join shortest s on t.r = s.r and t.template = s.template and s.first > t.last group by t.r, t.template),
+        counted as (select m.r, doc_id, license, list_sort(own) as own, dice from taken join matches m using (r, template, first, last)),
+        rows_ as (select doc_id, license, own, dice from found union all select doc_id, license, null, dice from matches
+            union all select doc_id, license, own, dice from counted c where not exists (select 1 from found f where f.r = c.r and f.license = c.license
+                and len(list_intersect(f.own, c.own)) = least(len(f.own), len(c.own))))
+        select doc_id, license, count(distinct own) as units, round(max(dice), 6) as dice from rows_ group by all"""

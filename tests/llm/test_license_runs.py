@@ -1,5 +1,8 @@
 import re
 
+import duckdb
+import pandas as pd
+
 from keyloom.llm import license
 
 SCHEMA = "doc_id long, text string"
@@ -62,3 +65,19 @@ def test_overlapping_runs_are_one_place(spark):
     texts = [OTHER + "\n" + by_words + "\n" + OTHER, f"{OTHER} {mit} {OTHER}\nReleased under the MIT License.", mit]
     found = {r.doc_id: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
     assert [(found[i].units, found[i].dice) for i in range(3)] == [(1, 1.0), (2, 1.0), (1, 1.0)]
+
+
+def test_sql_counts_the_same(spark):
+    mit = [x for n, x in license.TEMPLATES if n == "MIT" and len(x) > 200][0]
+    words = mit.split(" ")
+    texts = [
+        *TEXTS[:4], mit, mit.replace(" ", "\n"), f"{OTHER} {mit} {OTHER}\nReleased under the MIT License.",
+        f"{' '.join(words[:50])}. {' '.join(words[50:])}\n\n{OTHER}\n\n{' '.join(words[:40])}! {' '.join(words[40:])} More.",
+        "Released under the MIT License.\n" * 40 + OTHER, "One. Licensed under the Apache License, Version 2.0. Two. Licensed under the Apache License, Version 2.0, too. Three.",
+        "It is licensed under\vthe CC BY-NC 4.0. \x0b Licensed under CC BY-NC 4.0.", None, "", "license", OTHER,
+    ]
+    rows = [(i % 11, x) for i, x in enumerate(texts)] + [(3, mit), (None, GPL), (None, GPL)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    expected = sorted(duckdb.sql(license.scan_sql()).fetchall(), key=str)
+    found = sorted((tuple(r[x] for x in ("doc_id", "license", "units", "dice")) for r in license.scan(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert found == expected and len(found) > 8

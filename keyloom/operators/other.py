@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions.succinct import prefix_sum
 from ..plans.tables import as_table, part_files, shared_dir, write_parts
-from .recsplit import hashed, scattered, universal_hash, whole_buckets
+from .recsplit import dealt_to_search, hashed, scattered, universal_hash, whole_buckets
 
 U = np.uint64
 SHARD = 20_000  # keys in a shard on average, so that a shard fits in a task whatever the number of keys
@@ -102,7 +102,7 @@ def _sharded(keys: DataFrame, key: str, kind: str, method: str, make: Callable,
                 seed, data, size = make(hashes, *parameters)
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((int(bucket[first]), pa.int64()), (len(hashes), pa.int64()), (size, pa.int64()), (seed, pa.int64()), (data, pa.binary()))], ["bucket", "n", "size", "seed", "data"])
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "h")
+    dealt = dealt_to_search(rows, n).sortWithinPartitions("bucket", "h")
     table = as_table(dealt.mapInArrow(run, "bucket long, n long, size long, seed long, data binary"), method)
     placed = prefix_sum(table, "bucket", "size", "offset").withColumn("offset", F.col("offset").cast("long"))
     return Sharded.of(placed, kind, n, shards, method, parameters)
@@ -200,29 +200,41 @@ def lookup_bdz(model: Sharded, df: DataFrame, key: str, out: str = "idx") -> Dat
 
 
 def _chd(h: np.ndarray, load: int, slots: int, k: int):
-    """Buckets of about ``load`` keys, largest first; each takes the first displacement that overfills no slot."""
+    """Buckets of about ``load`` keys, largest first, those of a size at once; each takes the first displacement that overfills no slot.
+
+    Of buckets that ask for the same places in a round, those later in order look on. The first one always gets its own.
+    """
     r = max(1, -(-len(h) // load))
     bucket = H.np_reduce(H.np_mix64(h), r).astype(np.int64)
-    groups: dict[int, list] = {}
-    for i, b in enumerate(bucket.tolist()):
-        groups.setdefault(b, []).append(i)
+    order, sizes = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=r)
+    begins = np.cumsum(sizes) - sizes
     used, shift = np.zeros(slots, np.int64), np.zeros(r, np.uint32)
-    for b in sorted(groups, key=lambda b: (-len(groups[b]), b)):
-        own = h[groups[b]]
-        d, found = 1, False
-        while not found:
-            if d > 1 << 24:
+    for m in np.unique(sizes[sizes > 0])[::-1].tolist():
+        todo = np.flatnonzero(sizes == m)
+        own, d = h[order[begins[todo][:, None] + np.arange(m)]], np.ones(len(todo), np.int64)
+        while len(todo):
+            if d.max() > 1 << 24:
                 raise ValueError("no displacement found")
-            tried = H.np_reduce(H.np_mix64(own + np.arange(d, d + 64, dtype=U)[:, None]), slots).astype(np.int64)
-            for i in np.flatnonzero((used[tried] < k).all(axis=1)).tolist():
-                np.add.at(used, tried[i], 1)
-                if (used[tried[i]] <= k).all():
-                    d, found = d + i, True
-                    break
-                np.subtract.at(used, tried[i], 1)
-            else:
-                d += 64
-        shift[b] = d
+            tries = min(max(8, (1 << 16) // (len(todo) * m)), 1 << 12)
+            tried = np.sort(H.np_reduce(H.np_mix64(own[:, None, :] + (d[:, None] + np.arange(tries)).astype(U)[:, :, None]), slots).astype(np.int64), axis=2)
+            fill = used[tried]
+            for o in range(1, m):
+                fill[:, :, o:] += tried[:, :, o:] == tried[:, :, :-o]
+            fits = (fill < k).all(axis=2)
+            at = np.where(fits.any(axis=1), fits.argmax(axis=1), tries)
+            d += at
+            asks = np.flatnonzero(at < tries)
+            places = tried[asks, at[asks]].ravel()
+            by_place = np.argsort(places, kind="stable")
+            first = np.searchsorted(places[by_place], places[by_place])
+            free = np.empty(len(places), bool)
+            free[by_place] = used[places[by_place]] + np.arange(len(places)) - first < k
+            won = free.reshape(-1, m).all(axis=1)
+            shift[todo[asks[won]]] = d[asks[won]]
+            np.add.at(used, places.reshape(-1, m)[won].ravel(), 1)
+            left = np.ones(len(todo), bool)
+            left[asks[won]] = False
+            todo, own, d = todo[left], own[left], d[left]
     return shift, used
 
 

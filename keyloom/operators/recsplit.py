@@ -349,6 +349,14 @@ class Search:
         return H.key_hashes(self.keys.take(pa.array(rows)), universal, self.o.kind)
 
 
+def dealt_to_search(rows: DataFrame, n: int, partitions: int | None = None) -> DataFrame:
+    """Rows by bucket, in the session's number of tasks, or one for each 4,096 of ``n`` keys if those are fewer.
+
+    The number is given, as partitions of few bytes would be put together at run time, though a search takes long.
+    """
+    return rows.repartition(partitions or max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 4096))), "bucket")
+
+
 def build(keys: DataFrame, key: str, options: Options | None = None, partitions: int | None = None) -> Model:
     """A function from the distinct keys of a column to 0..n-1.
 
@@ -387,7 +395,7 @@ def build(keys: DataFrame, key: str, options: Options | None = None, partitions:
             types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], ["bucket", "n", "nodes", "bit_len", "alt"])
 
-    dealt = (rows.repartition(partitions, "bucket") if partitions else rows.repartition("bucket")).sortWithinPartitions("bucket", "h", "key")
+    dealt = dealt_to_search(rows, n, partitions).sortWithinPartitions("bucket", "h", "key")
     table = as_table(dealt.mapInArrow(run, _MODEL), "buckets")
     placed = prefix_sum(table.withColumn("own", F.when(F.col("alt"), 0).otherwise(F.col("n")).cast("long")), "bucket", "own", "offset").drop("own")
     model = Model.of(placed.select("bucket", "n", "nodes", "bit_len", "alt", F.col("offset").cast("long")), options, n, buckets)

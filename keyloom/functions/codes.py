@@ -47,7 +47,9 @@ def var_long_size(value: Column) -> Column:
 
 
 def base3_digit(value: Column, i: Column) -> Column:
-    return (F.floor(value / F.pow(F.lit(3.0), i)) % 3).cast("int")
+    """Digit ``i`` from below, by whole-number division, so exact for every value >= 0."""
+    powers = F.array(*(F.lit(3**j).cast("long") for j in range(40)))
+    return (F.call_function("div", value, F.get(powers, i)) % 3).cast("int")
 
 
 def base3_digit_loop(value: Column, i: int) -> Column:
@@ -57,6 +59,20 @@ def base3_digit_loop(value: Column, i: int) -> Column:
     return (value % 3).cast("int")
 
 
+def base3_digit_product(value: Column, i: int) -> Column:
+    """The same by a product and a shift instead of the division; 0 <= value < 2**31, i < 20."""
+    power = 3**i
+    bits = 31 + power.bit_length()
+    quotient = F.shiftrightunsigned(value.cast("long") * F.lit((1 << bits) // power + 1), bits) if i else value
+    return (quotient % 3).cast("int")
+
+
+def base3_digit_fraction(value: Column, i: int) -> Column:
+    """The same by two products: the fraction that is left of value / 3**(i + 1), in 62 bits, times 3. value * 3**(i + 1) < 2**62; needs wrapping."""
+    left = (value.cast("long") * F.lit((1 << 62) // 3 ** (i + 1) + 1)).bitwiseAND(F.lit((1 << 62) - 1))
+    return F.shiftrightunsigned(left * 3, 62).cast("int")
+
+
 def rice_parameter(p: Column) -> Column:
     """The best number of low bits for a geometric distribution, by the golden-ratio rule."""
     golden = (5**0.5 + 1) / 2

@@ -7,6 +7,7 @@ Columns wrap modulo 2**64, which ANSI mode forbids; ``wrapping(spark)`` switches
 from __future__ import annotations
 
 import contextlib
+import threading
 from collections.abc import Callable
 
 import numpy as np
@@ -28,16 +29,19 @@ SPOOKY = 0xDEADBEEFDEADBEEF
 
 # ---- native columns ----
 
+_MODE = threading.RLock()
+
 
 @contextlib.contextmanager
 def wrapping(spark: SparkSession):
-    """ANSI mode off while columns are resolved; expressions keep the mode that they were made under."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+    """ANSI mode off while columns are resolved; expressions keep the mode that they were made under. One thread at a time, so that the mode before comes back."""
+    with _MODE:
+        before = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def with_wrapped(df: DataFrame, **columns: Column) -> DataFrame:
@@ -131,6 +135,11 @@ def supplemental128(high: Column, low: Column, index: Column) -> Column:
     return mix64(high * (index + 1) + low)
 
 
+def rotate_xor(x: Column, index: Column) -> Column:
+    """A hash of two steps, to measure what a cheaper one would gain; not for real use."""
+    return _rotated(x, index).bitwiseXOR(F.shiftrightunsigned(x, 16))
+
+
 def reduce_range(x: Column, n: int | Column) -> Column:
     """The low 32 bits scaled to 0..n-1 by a product and a shift; n < 2**31."""
     return F.shiftrightunsigned(low32(x) * n, 32)
@@ -223,7 +232,7 @@ def _tail(rows: np.ndarray, done: int) -> np.ndarray:
     return out
 
 
-def siphash24(rows: np.ndarray, k0: int, k1: int) -> np.ndarray:
+def _siphash24(rows: np.ndarray, k0: int, k1: int) -> list[np.ndarray]:
     n = rows.shape[1]
     v = [np.full(len(rows), U((k ^ s) & (1 << 64) - 1)) for k, s in zip((k0, k1, k0, k1), SIP)]
     last = _tail(rows, n // 8 * 8) | U((n & 255) << 56)
@@ -233,9 +242,20 @@ def siphash24(rows: np.ndarray, k0: int, k1: int) -> np.ndarray:
         v[0] ^= m
     v[2] ^= U(0xFF)
     _sip_rounds(v, 4)
+    return v
+
+
+def siphash24(rows: np.ndarray, k0: int, k1: int) -> np.ndarray:
+    v = _siphash24(rows, k0, k1)
     return v[0] ^ v[1] ^ v[2] ^ v[3]
 
 
+def siphash24_pair(rows: np.ndarray, k0: int, k1: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the same rounds: both halves of the last state, whose sum is the 64-bit hash."""
+    v = _siphash24(rows, k0, k1)
+    return v[0] ^ v[1], v[2] ^ v[3]
+
+
 def murmur2_32(rows: np.ndarray, seed: int = 0) -> np.ndarray:
     mask, n = U(0xFFFFFFFF), rows.shape[1]
     h = np.full(len(rows), U((seed ^ n) & 0xFFFFFFFF))
@@ -359,6 +379,8 @@ def text_hash(rows: np.ndarray, index: int) -> np.ndarray:
 
 KERNELS: dict[str, Callable] = {
     "siphash": lambda seed: lambda rows: siphash24(rows, seed, seed),
+    "siphash_high": lambda seed: lambda rows: siphash24_pair(rows, seed, seed)[0],
+    "siphash_low": lambda seed: lambda rows: siphash24_pair(rows, seed, seed)[1],
     "siphash_text": lambda seed: lambda rows: text_hash(rows, seed),
     "murmur2_32": lambda seed: lambda rows: murmur2_32(rows, seed),
     "murmur2_64": lambda seed: lambda rows: murmur2_64(rows, seed),
@@ -386,6 +408,16 @@ def hash_bytes(name: str, value: Column, seed: int = 0) -> Column:
     return F.arrow_udf(run, "long")(value.cast("string").cast("binary"))
 
 
+def counted(kernel: Callable[[np.ndarray], np.ndarray], count) -> Callable[[np.ndarray], np.ndarray]:
+    """A kernel that adds the values it hashes to an accumulator, to measure how many calls a plan makes."""
+
+    def run(rows):
+        count.add(len(rows))
+        return kernel(rows)
+
+    return run
+
+
 def key_hashes(column, index: int, kind: str) -> np.ndarray:
     """Universal hashes of an Arrow array of keys: kind is long, string or text."""
     if kind == "long":

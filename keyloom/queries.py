@@ -346,6 +346,27 @@ def supplemental_hash(spark, d):
     return H.with_wrapped(_t(spark, d, "orders").select("o_orderkey"), h=H.supplemental(F.col("o_orderkey"), F.lit(7).cast("long")))
 
 
+def _variants_sql(i: int = 7) -> str:
+    low = "4294967295::uhugeint"
+    x = sql_u64(f"u + {i}::uhugeint * {H.M1}::uhugeint")
+    rotated = f"({sql_u64(f'u * {2**i}::uhugeint')} + (u >> {64 - i}))"
+    mixed = f"(xor({rotated}, {i}::uhugeint) & {low})"
+    steps = f"select *, {x} as sx, {mixed} as m0 from (select o_orderkey, o_custkey, {sql_mix64('o_orderkey::uhugeint')} as u from orders)"
+    steps = f"select *, xor(sx, {sql_u64('sx * 8192::uhugeint')}) as s1, (xor(m0, m0 >> 16) * {H.MIX32}::uhugeint) & {low} as m1 from ({steps})"
+    steps = f"select *, xor(s1, s1 >> 17) as s2, (xor(m1, m1 >> 16) * {H.MIX32}::uhugeint) & {low} as m2 from ({steps})"
+    steps = f"select *, xor(s2, {sql_u64('s2 * 32::uhugeint')}) as s3, xor(m2, m2 >> 16) as m3, {sql_u64(f'u * {i + 1}::uhugeint + o_custkey::uhugeint')} as w from ({steps})"
+    return f"select o_orderkey, {sql_int32('s3')} as shifted, {sql_int32('m3')} as short, ((m3 & 2147483647::uhugeint) % 1000::uhugeint)::bigint as slot, {sql_signed(sql_mix64('w'))} as wide, {sql_signed(f'xor({rotated}, u >> 16)')} as rotated from ({steps})"
+
+
+@query(_variants_sql())
+def supplemental_variants(spark, d):
+    """The other supplemental hashes: by shifts, of 32 bits, scaled to a slot, of 128-bit keys, and the two-step one."""
+    rows = H.with_wrapped(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), u=H.mix64(F.col("o_orderkey")))
+    u, i = F.col("u"), F.lit(7).cast("long")
+    made = {"shifted": H.supplemental_shift(u, i), "short": H.supplemental_int(u, i), "slot": H.cuckoo_slot(u, i, 1000), "wide": H.supplemental128(u, F.col("o_custkey"), i), "rotated": H.rotate_xor(u, i)}
+    return H.with_wrapped(rows, **made).drop("o_custkey", "u")
+
+
 def _bijection_sql() -> str:
     x = "c_custkey::uhugeint"
     a = f"((xor({x}, {x} >> 20) * {H.M1}::uhugeint) & 17592186044415::uhugeint)"
@@ -636,6 +657,27 @@ def overflow_simulation(spark, d):
     return tried.groupBy("size").agg(F.avg((F.col("c") >= F.col("size")).cast("int")).alias("measured")).join(p, "size").withColumn("p", F.round("p", 9))
 
 
+def _calls_sql() -> str:
+    slots = f"select n, t, j, ({sql_mix64('(t * n + j)::uhugeint')} & 4294967295::uhugeint) * n::uhugeint >> 32 as slot from range(3, 7) s(n), range(20000) r(t), range(6) p(j) where j < n"
+    tries = f"select n, t, coalesce(min(j) filter (again > 1), n - 1) + 1 as calls, count(*) filter (again > 1) = 0 as hit from (select *, row_number() over (partition by n, t, slot order by j) as again from ({slots})) group by n, t"
+    expected = "select n, sum(exp(lgamma(n + 1) - lgamma(n - j + 1) - j * ln(n))) / any_value(exp(lgamma(n + 1) - n * ln(n))) as calls from range(3, 7) s(n), range(6) p(j) where j < n group by n"
+    return f"select n::int as size, round(sum(m.calls) / sum(hit::int), 6) as measured, round(any_value(e.calls), 6) as expected from ({tries}) m join ({expected}) e using (n) group by n"
+
+
+@query(_calls_sql())
+def hash_calls_simulation(spark, d):
+    """Hash calls for one leaf that fits, by 20,000 tries with generated keys each of which ends at its first collision, beside their expectation."""
+    found = []
+    for n in range(3, 7):
+        slot = lambda j, n=n: H.reduce_range(H.mix64(F.col("id") * n + j), n)
+        rows = H.with_wrapped(spark.range(20_000), slots=F.array(*(slot(j) for j in range(n))))
+        clear = [F.size(F.array_distinct(F.slice("slots", 1, j))) == j for j in range(1, n + 1)]  # the first j keys don't collide
+        calls = sum((c.cast("long") for c in clear[:-1]), F.lit(1))
+        expected = P.leaf_calls(n)
+        found.append(rows.agg(F.lit(n).alias("size"), F.round(F.sum(calls) / F.count_if(clear[-1]), 6).alias("measured"), F.lit(round(expected, 6)).alias("expected")))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 # ---- F: codes ----
 
 
@@ -669,6 +711,21 @@ def base3_digits(spark, d):
     return rows.withColumn("digit", codes.base3_digit(F.col("c_custkey"), F.col("i")))
 
 
+@query("select c_custkey, i::int as i, digit as division, digit as loop, digit as product, digit as fraction from (select c_custkey, i, ((c_custkey // pow(3, i)::bigint) % 3)::int as digit from customer, range(5) r(i))")
+def base3_variants(spark, d):
+    """Digits by one division, by several, by one product and by two."""
+    rows, value = _t(spark, d, "customer").select("c_custkey"), F.col("c_custkey")
+    ways = lambda i: {"division": codes.base3_digit(value, F.lit(i)), "loop": codes.base3_digit_loop(value, i), "product": codes.base3_digit_product(value, i), "fraction": codes.base3_digit_fraction(value, i)}
+    return functools.reduce(DataFrame.unionByName, (H.with_wrapped(rows, i=F.lit(i), **ways(i)) for i in range(5)))
+
+
+@query("select c / 100.0::double as p, round(sum(-x * log2(x)), 6) as bits from (select c, c / 100.0::double * pow(1 - c / 100.0::double, k) as x from range(2, 100) p(c), range(3000) r(k)) where x > 0 group by c")
+def geometric_entropy(spark, d):
+    """Entropy of geometric distributions in closed form, against the sum over their values."""
+    rows = spark.range(2, 100).select((F.col("id") / 100.0).alias("p"))
+    return rows.select("p", F.round(codes.geometric_entropy(F.col("p")), 6).alias("bits"))
+
+
 @query("select url, lower(hex(url)) as h from pages")
 def hex_round_trip(spark, d):
     return _t(spark, d, "pages").select("url", codes.to_hex(codes.from_hex(codes.to_hex(F.col("url")))).alias("h"))

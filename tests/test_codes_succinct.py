@@ -129,3 +129,9 @@ def test_select_in_word(spark):
     df = spark.createDataFrame([(0b10110,), (0,), (-1,)], "w long")
     assert [r[0] for r in df.select(S.select_in_word(F.col("w"), F.lit(1))).collect()] == [2, -1, 1]
     assert [r[0] for r in df.select(S.select_in_word_msb(F.col("w"), F.lit(0))).collect()] == [59, -1, 0]
+
+
+def test_base3_of_long_values(spark):
+    values = [0, 3**39 - 1, 2**63 - 1, 2**62 + 12345]
+    rows = spark.createDataFrame([(v, i) for v in values for i in range(39)], "v long, i int").select("v", "i", codes.base3_digit(F.col("v"), F.col("i")).alias("d"))
+    assert all(r.d == r.v // 3**r.i % 3 for r in rows.collect())

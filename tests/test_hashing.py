@@ -47,6 +47,41 @@ def test_published_vectors():
     assert (int(h1[0]), int(h2[0])) == (0xE34BBC7BBC071B6C, 0x7A433CA9C49A9347)
 
 
+@pytest.mark.parametrize(
+    ("kernel", "size", "published"),
+    [
+        (H.murmur2_32, 4, 0x27864C1E),
+        (H.murmur2_64, 8, 0x1F0D3804),
+        (H.murmur3_32, 4, 0xB0F57EE3),
+        (lambda r, seed: np.concatenate(H.murmur3_128(r, seed)), 16, 0x6384BA69),
+    ],
+)
+def test_published_verification_codes(kernel, size, published):
+    """The published code of a hash: of the texts 0, 1, ... of every length below 256 under falling seeds, and of those hashes together."""
+    words = size if size < 8 else 8
+    hashed = lambda data, seed: b"".join(int(h).to_bytes(words, "little") for h in kernel(rows(data) if data else np.zeros((1, 0), np.uint8), seed))
+    whole = b"".join(hashed(bytes(range(n)), 256 - n) for n in range(256))
+    assert int.from_bytes(hashed(whole, 0)[:4], "little") == published
+
+
+def test_siphash_halves():
+    data = np.arange(150, dtype=np.uint8).reshape(10, 15)
+    high, low = H.siphash24_pair(data, 3, 5)
+    assert ((high ^ low) == H.siphash24(data, 3, 5)).all() and len(set(high.tolist())) == 10
+
+
+def test_counted(spark):
+    count = spark.sparkContext.accumulator(0)
+    kernel = H.counted(lambda r: H.siphash24(r, 1, 1), count)
+
+    def run(batches):
+        for b in batches:
+            kernel(np.zeros((b.num_rows, 4), np.uint8))
+            yield b
+
+    assert spark.range(1000).mapInArrow(run, "id long").count() == 1000 and count.value == 1000
+
+
 @pytest.mark.parametrize("name", sorted(H.KERNELS))
 def test_kernels_by_length(spark, name):
     values = ["", "a", "abcdefg", "abcdefgh", "x" * 31, "y" * 32, "z" * 100, "é", None]

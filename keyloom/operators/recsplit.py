@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions.codes import BitBuffer, pack_rice, unpack_rice
 from ..functions.succinct import EliasFanoList, MultiStageList, monotone_list, prefix_sum
-from ..plans.planner import parts_of, rules_of, split_rules
+from ..plans.planner import p_places, parts_of, rice_parameter, rules_of, split_rules
 from ..plans.tables import as_table, part_files, shared_dir, write_parts
 
 U = np.uint64
@@ -30,6 +30,9 @@ class Options:
 
     mode "fast": keys are well-mixed 64-bit values; the bucket is their top bits, sets are halved by one bit of a cheaper
     hash, and buckets of over 64 keys are refused.
+
+    ``slots`` above 1 gives leaves more places than keys, so that the function has gaps, fewer bits and a shorter build;
+    ``keys_each`` lets as many keys share a place of a leaf, for k-perfect functions.
     """
 
     kind: str = "long"  # long, string, or text: strings under another hash
@@ -39,6 +42,8 @@ class Options:
     overflow: int = 8
     split_mode: str = "optimised"  # or "legacy": the older rule of fan-outs
     lists: str = "elias_fano"  # or "multi_stage": the lists of the one-string form
+    slots: float = 1.0  # places of a leaf for each key
+    keys_each: int = 1  # keys that may share a place
 
     def __post_init__(self):
         if not 2 <= self.leaf_size <= 18:
@@ -47,6 +52,12 @@ class Options:
             raise ValueError("average_bucket_size must be in 4..65536")
         if self.mode not in ("recsplit", "fast") or self.split_mode not in ("optimised", "legacy") or self.lists not in ("elias_fano", "multi_stage"):
             raise ValueError("unknown mode")
+        if not 1 <= self.slots <= 2 or self.keys_each < 1:
+            raise ValueError("slots must be in 1..2, keys_each at least 1")
+
+    @property
+    def minimal(self) -> bool:
+        return self.slots == 1 and self.keys_each == 1
 
     def max_size(self) -> int:
         return 64 if self.mode == "fast" else max(self.overflow * self.average_bucket_size, self.leaf_size)
@@ -57,6 +68,27 @@ class Options:
 
     def rules(self):
         """(split, rice k, nodes) for each size."""
+        split, k, nodes = self._rules()
+        if not self.minimal:
+            k = k.copy()
+            for n in range(2, min(self.leaf_size, len(k) - 1) + 1):
+                k[n] = rice_parameter(p_places(n, self.leaf_places(n), self.keys_each))
+        return split, k, nodes
+
+    def leaf_places(self, n: int) -> int:
+        return -(-int(n * self.slots) // self.keys_each)
+
+    @functools.cache
+    def places(self) -> np.ndarray:
+        """How many places sets of each size take."""
+        split, _, _ = self._rules()
+        out = np.arange(len(split))
+        if not self.minimal:
+            for n in range(1, len(out)):
+                out[n] = self.leaf_places(n) if n <= self.leaf_size else sum(out[m] for m in parts_of(n, int(split[n])))
+        return out
+
+    def _rules(self):
         if self.mode == "fast":
             n = np.arange(self.max_size() + 1)
             split, (_, k) = np.where(n <= self.leaf_size, n, -(n // 2)), split_rules(self.leaf_size, self.max_size())
@@ -200,15 +232,16 @@ class Model:
         before, starts = lists
         sizes = np.diff(before)
         at = np.flatnonzero(sizes)
+        offsets = np.concatenate([[0], np.cumsum(options.places()[sizes])])
         preorder = [preorder_sizes(int(m), options.leaf_size, split) for m in sizes[at]]
         found = unpack_rice(trees, [np.array([k[m] for m in own], np.int64) for own in preorder], starts[at])
-        rows = [(int(b), int(sizes[b]), gaps.tolist(), int(starts[b + 1] - starts[b]), False, int(before[b])) for b, gaps in zip(at, found)]
+        rows = [(int(b), int(sizes[b]), gaps.tolist(), int(starts[b + 1] - starts[b]), False, int(offsets[b])) for b, gaps in zip(at, found)]
         if fallback is not None:
             # buckets without keys in the trees overflowed, or have none: the second function is asked
-            rows += [(int(b), 0, None, 0, True, int(before[b])) for b in np.flatnonzero(sizes == 0)]
+            rows += [(int(b), 0, None, 0, True, int(offsets[b])) for b in np.flatnonzero(sizes == 0)]
         model = cls.of(spark.createDataFrame(rows, _STORED), options, header["n"], header["buckets"])
         if fallback is not None:
-            model.fallback, model.fallback_offset = sharded_from_bytes(spark, fallback), int(before[-1])
+            model.fallback, model.fallback_offset = sharded_from_bytes(spark, fallback), int(offsets[-1])
         return model
 
 
@@ -275,6 +308,7 @@ class Search:
     def __init__(self, options: Options, keys, hashes: np.ndarray):
         self.o, self.keys, self.hashes = options, keys, hashes
         self.split, self.k, self.node_count = options.rules()
+        self.places = options.places()
 
     def run(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys starts[i] to starts[i] + sizes[i] are bucket i. Gives all gaps, where each bucket's begin, and its bits."""
@@ -307,13 +341,15 @@ class Search:
         low = self.o.low32(hashes, index)
         s = int(self.split[n])
         if n <= self.o.leaf_size or s > 0:
-            return H.np_reduce(low, n if n <= self.o.leaf_size else s)
+            return H.np_reduce(low, int(self.places[n]) if n <= self.o.leaf_size else s)
         if self.o.mode == "fast":
             return H.np_reduce(low, 2)
         return (H.np_reduce(low, n) >= U(-s)).astype(U)
 
     def _good(self, slots: np.ndarray, n: int) -> np.ndarray:
         s = int(self.split[n])
+        if n <= self.o.leaf_size and not self.o.minimal:
+            return np.all([(slots == j).sum(axis=-1) <= self.o.keys_each for j in range(int(self.places[n]))], axis=0)
         if n <= self.o.leaf_size:
             return np.bitwise_or.reduce(U(1) << slots, axis=-1) == U((1 << n) - 1)
         if s < 0:
@@ -323,7 +359,7 @@ class Search:
     def _find(self, rows: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         index, current = start.astype(np.int64), start.astype(np.int64)
         hashes, level = self.hashes[rows], np.zeros(len(rows), np.int64)
-        if n <= self.o.leaf_size and self.o.mode != "fast":
+        if n <= self.o.leaf_size and self.o.mode != "fast" and self.o.keys_each == 1:
             # equal hashes never part: on to the next universal hash at once
             tied = (np.diff(np.sort(hashes, axis=1), axis=1) == 0).any(axis=1)
             current[tied] = (current[tied] >> UNIVERSAL_SHIFT) + 1 << UNIVERSAL_SHIFT
@@ -397,7 +433,9 @@ def build(keys: DataFrame, key: str, options: Options | None = None, partitions:
 
     dealt = dealt_to_search(rows, n, partitions).sortWithinPartitions("bucket", "h", "key")
     table = as_table(dealt.mapInArrow(run, _MODEL), "buckets")
-    placed = prefix_sum(table.withColumn("own", F.when(F.col("alt"), 0).otherwise(F.col("n")).cast("long")), "bucket", "own", "offset").drop("own")
+    own = F.col("n") if options.minimal else F.get(F.lit(options.places().tolist()), F.col("n"))
+    table = table.withColumn("own", F.when(F.col("alt"), 0).otherwise(own).cast("long"))
+    placed = prefix_sum(table, "bucket", "own", "offset").drop("own")
     model = Model.of(placed.select("bucket", "n", "nodes", "bit_len", "alt", F.col("offset").cast("long")), options, n, buckets)
     over = model.table.where("alt")
     if options.mode != "fast" and not over.isEmpty():
@@ -405,7 +443,7 @@ def build(keys: DataFrame, key: str, options: Options | None = None, partitions:
 
         left = as_table(rows.join(over.select("bucket"), "bucket", "left_semi").select("key"), "overflow")
         model.fallback = build_bdz(left, "key", options.kind)
-        model.fallback_offset = n - model.fallback.n
+        model.fallback_offset = table.agg(F.sum("own")).first()[0]
     return model
 
 
@@ -552,7 +590,7 @@ def walk(options: Options, keys, hashes: np.ndarray, sizes: np.ndarray, values:
                 size[at] = 1
                 continue
             parts = np.array(parts_of(n, int(search.split[n])))
-            add[at] += np.concatenate([[0], np.cumsum(parts)])[slot]
+            add[at] += np.concatenate([[0], np.cumsum(search.places[parts])])[slot]
             pos[at] += 1 + np.concatenate([[0], np.cumsum(search.node_count[parts])])[slot]
             size[at] = parts[slot]
         live = live[size[live] > 1]

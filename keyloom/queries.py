@@ -134,6 +134,25 @@ def mphf_space_report(spark, d):
     return model.space().select("n", (bits > 1.44).alias("above_bound"), (bits < 4).alias("below_four"), (F.abs(F.col("tree_bits") + F.col("list_bits") - stored) < 0.03 * stored + 4000).alias("as_stored"))
 
 
+@query("select count(*) as n, count(*) as distinct_idx, true as in_range, true as shorter, 0::bigint as differences from orders")
+def mphf_with_gaps(spark, d):
+    """Leaves of nine places for eight keys: no two keys share a place, and the function takes fewer bits than the minimal one; saved as one string and back."""
+    orders, model = _orders_model(spark, d, slots=1.125)
+    found = R.lookup(R.Model.from_bytes(spark, model.to_bytes(), model.options), R.lookup(model, orders, "o_orderkey"), "o_orderkey", "again")
+    shorter = model.space().first().bits_per_key < _orders_model(spark, d)[1].space().first().bits_per_key
+    in_range = (F.max("idx") < 1.125 * F.count("*")) & (F.min("idx") >= 0)
+    return found.agg(F.count("*").alias("n"), F.countDistinct("idx").alias("distinct_idx"), in_range.alias("in_range"), F.lit(shorter).alias("shorter"), F.sum((~F.col("idx").eqNullSafe(F.col("again"))).cast("long")).alias("differences"))
+
+
+@query("select count(*) as n, 4::bigint as most, true as few_places, 0::bigint as differences from orders")
+def mphf_k_perfect(spark, d):
+    """Leaves whose places take up to four keys, so a leaf of eight has two; saved as one string and back."""
+    orders, model = _orders_model(spark, d, keys_each=4)
+    found = R.lookup(R.Model.from_bytes(spark, model.to_bytes(), model.options), R.lookup(model, orders, "o_orderkey"), "o_orderkey", "again")
+    places = found.groupBy("idx").agg(F.count("*").alias("c"), F.sum((~F.col("idx").eqNullSafe(F.col("again"))).cast("long")).alias("differences"))
+    return places.agg(F.sum("c").alias("n"), F.max("c").alias("most"), (F.max("idx") < 0.5 * F.sum("c")).alias("few_places"), F.sum("differences").alias("differences"))
+
+
 @query("select count(*) as n, true as some_over, 0::bigint as differences from orders")
 def hybrid_save_load_equal(spark, d):
     """A function with overflown buckets, saved as files and as one string, and loaded again."""

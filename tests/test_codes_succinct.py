@@ -133,5 +133,5 @@ def test_select_in_word(spark):
 
 def test_base3_of_long_values(spark):
     values = [0, 3**39 - 1, 2**63 - 1, 2**62 + 12345]
-    rows = spark.createDataFrame([(v, i) for v in values for i in range(39)], "v long, i int").select("v", "i", codes.base3_digit(F.col("v"), F.col("i")).alias("d"))
+    rows = spark.createDataFrame([(v, i) for v in values for i in range(39)], "v long, i int").select("v", "i", C.base3_digit(F.col("v"), F.col("i")).alias("d"))
     assert all(r.d == r.v // 3**r.i % 3 for r in rows.collect())

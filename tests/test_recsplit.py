@@ -1,3 +1,6 @@
+import collections
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +282,28 @@ def test_stream(spark, tmp_path):
     q = lookup_stream(model, stream, "k").writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert bijective(spark.table("found"), 100)
+
+
+@pytest.mark.parametrize("options", [R.Options(slots=1.125, overflow=1, average_bucket_size=50), R.Options(keys_each=3, leaf_size=7), R.Options(mode="fast", leaf_size=8, average_bucket_size=16, slots=1.25), R.Options(mode="fast", leaf_size=8, average_bucket_size=16, keys_each=2, slots=1.5)])
+def test_gaps_and_shared_places(spark, tmp_path, options):
+    keys = H.with_wrapped(spark.range(3000), k=H.mix64(F.col("id")))
+    model = R.build(keys, "k", options)
+    model.save(str(tmp_path / "m"))
+    rows = R.lookup(model, keys, "k")
+    for name, again in (("a", R.Model.load(spark, str(tmp_path / "m"), options)), ("b", R.Model.from_bytes(spark, model.to_bytes(), options))):
+        rows = R.lookup(again, rows, "k", name)
+    got = rows.collect()
+    shared = collections.Counter(r.idx for r in got)
+    assert all(r.idx == r.a == r.b for r in got) and max(shared.values()) <= options.keys_each and min(shared) >= 0
+    if options.overflow == 1:
+        assert model.fallback is not None
+    if options.keys_each == 1:
+        assert max(shared) < options.slots * len(got)
+    else:
+        assert max(shared) < 0.9 * len(got)
+
+
+def test_probability_of_places():
+    for size, places, most in ((4, 4, 1), (4, 5, 1), (5, 3, 2), (6, 2, 3), (5, 2, 2), (3, 1, 4)):
+        fits = [max(collections.Counter(x).values()) <= most for x in itertools.product(range(places), repeat=size)]
+        assert abs(P.p_places(size, places, most) - sum(fits) / len(fits)) < 1e-12

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.succinct import prefix_sum
 from .features import code_points, mix, parts, spans, word_hashes, word_table
 from .shared import among, are_among, as_table, numbered, salted_join, stored_numbers, sub_batches
 
@@ -322,19 +323,26 @@ def _across(labelled: DataFrame, bags: DataFrame, cell: int = 512, most_cell: in
     all. Both are dealt into cells of bounded size; in a cell an index of the shingles gives the overlaps of a text with all
     others at once, and for each label that it reaches one link comes out. Buckets of two have been compared before.
     Cells grow with the bucket, so that a bucket is many tasks, yet a text's multiset is sent to few cells: in a bucket of
-    n texts at most n / ``most_cell`` times, or 8 times.
+    n texts at most n / ``most_cell`` times, or 8 times. Cells are numbered from the largest on and dealt in turn, so that
+    no task gets several large ones while another has none.
     """
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("weight").alias("w"))
     sizes = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum("w").alias("w"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
     cell_ = F.greatest(F.lit(cell), F.least(F.lit(most_cell), F.col("n") / 8))
     share = F.greatest(F.col("w") / F.col("n") / cell_weight, 1 / cell_)  # cells for each text; more if texts are long
-    open_ = as_table(sizes.where("labels > 1 and n > 2").select("key", "n", F.col("top.label").alias("top"), F.ceil(F.col("n") * share).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top.c")) * share).cast("int").alias("askers")), "open")
+    open_ = as_table(sizes.where("labels > 1 and n > 2").select("key", "n", F.col("top.label").alias("top"), F.ceil(F.col("n") * share).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("top.c")) * share).cast("int").alias("askers"), (F.col("n") - F.col("top.c")).alias("asking")), "open")
+    cells = F.col("parts").cast("long") * F.col("askers")
+    total = open_.agg(F.coalesce(F.sum(cells), F.lit(0))).first()[0]
+    tasks = max(1, min(total, int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    open_ = numbered(open_.withColumn("cells", cells).orderBy(F.desc(F.col("n") / F.col("parts") + F.col("asking") / F.col("askers")), "key"), "ranked")
+    open_ = as_table(prefix_sum(open_, "r", "cells", "first").select("key", "n", "top", "parts", "askers", F.col("first").cast("long").alias("first")), "open")
     rows = salted_join(labelled.select("key", "id", "label"), open_.drop("n"), "key", F.col("id"), counts=open_.select("key", "n"))
     number = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    asked = rows.where("label <> top").select("key", "id", "label", number("askers").alias("i"), every("parts").alias("j"), F.lit(True).alias("asks"))
-    against = rows.select("key", "id", "label", every("askers").alias("i"), number("parts").alias("j"), F.lit(False).alias("asks"))
-    dealt = asked.unionByName(against).join(bags, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    asked = rows.where("label <> top").select("key", "id", "label", number("askers").alias("i"), every("parts").alias("j"), "first", "parts", F.lit(True).alias("asks"))
+    against = rows.select("key", "id", "label", every("askers").alias("i"), number("parts").alias("j"), "first", "parts", F.lit(False).alias("asks"))
+    at = F.pmod(F.col("first") + F.col("i").cast("long") * F.col("parts") + F.col("j"), F.lit(tasks)).cast("int")
+    dealt = asked.unionByName(against).withColumn("at", at).drop("first", "parts").join(bags, "id").repartitionById(tasks, "at").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
         group, held = None, []
